@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, media, mixing, quality, substring, toxicity, warc, wordpiece
+from . import bpe, common, lm, media, mixing, ngram_join, quality, substring, toxicity, warc, wordpiece
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(common.documents(spark, sf_dir))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_documents(common.documents(spark, sf_dir))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(common.documents(spark, sf_dir))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -45,7 +53,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix": op2_mix,
+    "op3_ngram_join": op3_ngram_join,
     "op4_media": op4_media,
+    "op5_lm": op5_lm,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,

@@ -21,8 +21,8 @@ from .common import crc_mod, written
 
 #: Bounds of the fit: labelled rows in the sample, and terms.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 512
-#: Signed root of chi-square that a term must reach, and labelled 1-documents that must hold it.
-LEAST_Z, LEAST_DOCS = 5.0, 3
+#: Likelihood ratio (2 ln) against chance that a term must reach: by chance, under one in 10**10 terms does.
+LEAST_RATIO = 45.0
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 5
 THRESHOLD = 0.7
 NOT_TERM = r"[^\p{L}\p{N}]+"
@@ -126,8 +126,10 @@ def choose_terms(sample: DataFrame) -> list[str]:
         return []
     share = n.n1 / (n.n1 + n.n0)
     counts = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("m"))
-    z = (F.col("a") - F.col("m") * share) / F.sqrt(F.col("m") * share * (1 - share))
-    return [r.term for r in counts.where(F.col("a") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term").collect()]
+    a, m = F.col("a"), F.col("m")
+    rest = F.when(m > a, (m - a) * F.log((m - a) / (m * (1 - share)))).otherwise(0.0)
+    counts = counts.where(a > m * share).withColumn("ratio", 2 * (a * F.log(a / (m * share)) + rest))
+    return [r.term for r in counts.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
