@@ -28,7 +28,7 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 #: A token is frequent if documents with more than so many different least shingles hold it; at most so many tokens are.
-SPREAD, MAX_FREQUENT = 64, 1 << 19
+SPREAD, MAX_FREQUENT = 12, 1 << 19
 #: Centres that a document meets in a large group of one key class.
 CENTRES = 4
 COEFFICIENTS = random_table(SHINGLE, 11) | U(1)
@@ -92,7 +92,7 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
     """Sorted tokens of the frequent class, MAX_FREQUENT at most (those in most documents).
 
     The class only decides which index a token is in: any choice gives the same links.
-    A task reports tokens that repeat within its flush, with up to four of the documents' least tokens:
+    A task reports tokens that repeat within its flush, with up to 2 * SPREAD of the documents' least tokens:
     near copies mostly agree in it, documents that share no more than a passage do not.
     """
 
@@ -110,7 +110,7 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
             size = np.diff(np.append(begin, len(u)))
             place = np.arange(len(u)) - np.repeat(begin, size)
             total = np.repeat(np.add.reduceat(count, begin), size)
-            keep = (place < 4) & (total > 1)
+            keep = (place < 2 * SPREAD) & (total > 1)
             bucket = (u[keep] >> U(56)).astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(1, 256))
             rows = [(b, x.tobytes(), y.tobytes()) for b, (x, y) in enumerate(zip(np.split(u[keep], cut), np.split(m[keep], cut), strict=True)) if len(x)]
