@@ -28,7 +28,7 @@ EDGE = 0xFF  # no byte of UTF-8: stands before the first byte and is coded as th
 SHARD_BYTES = 96 << 20
 #: Words whose counts go to all tasks: those above the least count that at most so many words have.
 MAX_COMMON = 1 << 20
-CHUNK, FLUSH = 2 << 20, 8 << 20
+CHUNK, FLUSH = 1 << 20, 4 << 20
 BUCKETS = 64
 
 
