@@ -1,0 +1 @@
+"""Continuous evaluation over unbounded input."""
