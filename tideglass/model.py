@@ -71,6 +71,10 @@ class Vector:
     labels: tuple[str, ...]
     unique: bool = False
     order: list = field(default_factory=list)
+    #: Every row's name is to go.
+    nameless: bool = False
+    #: All series have the same name.
+    one_name: bool = False
 
     def with_df(self, df: DataFrame, **changes) -> Vector:
         return replace(self, df=df, **changes)

@@ -33,11 +33,11 @@ def with_scalar(op: str, v: Vector, s: Scalar, flag: bool, scalar_left: bool) ->
         value, keep, drop = x, COMPARISON[op](a, b), False
     df = df.where(keep) if keep is not None else df
     drops = F.lit(True) if drop else F.col("drop_name")
-    return Vector(df.select(*columns(v.labels), "step_ms", value.alias("value"), drops.alias("drop_name")), v.labels, v.unique and (not drop or _one_name(v)))
+    return Vector(df.select(*columns(v.labels), "step_ms", value.alias("value"), drops.alias("drop_name")), v.labels, v.unique and (not drop or _one_name(v)), nameless=drop or v.nameless)
 
 
 def _one_name(v: Vector) -> bool:
-    return getattr(v, "one_name", False) or NAME not in v.labels
+    return v.one_name or NAME not in v.labels
 
 
 def signature(a: Vector, b: Vector, m: Matching) -> tuple[str, ...]:
@@ -80,7 +80,7 @@ def _once(df: DataFrame, on: list[str], message: str, other: DataFrame, unique:
 
 def _is_key(v: Vector, keys: tuple[str, ...]) -> bool:
     """Whether a key holds all labels of the vector but its one name."""
-    return v.unique and set(v.labels) - set(keys) <= ({NAME} if getattr(v, "one_name", False) else set())
+    return v.unique and set(v.labels) - set(keys) <= ({NAME} if v.one_name else set())
 
 
 def vectors(op: str, a: Vector, b: Vector, flag: bool, m: Matching) -> Vector:
@@ -138,4 +138,4 @@ def vectors(op: str, a: Vector, b: Vector, flag: bool, m: Matching) -> Vector:
     names = tuple(sorted(names))
     drops = F.lit(True) if drop else F.coalesce(F.col(f"{many}_drop_name"), F.lit(True))
     out = df.select(*(label(n).alias(col(n)) for n in names), F.col("key_step").alias("step_ms"), value.alias("value"), drops.alias("drop_name"))
-    return Vector(out, names, m.card == "one-to-one" and (drop or NAME not in names))
+    return Vector(out, names, m.card == "one-to-one" and (drop or NAME not in names), nameless=drop)

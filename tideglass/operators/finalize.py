@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ def finish(v: Vector) -> Vector:
 
     The check costs a shuffle and is left out where the plan shows that no two series can become one.
     """
+    if v.nameless:
+        v = replace(v, labels=tuple(x for x in v.labels if x not in METRIC_LABELS))
     gone = F.col("drop_name")
     df = v.df.select(*((F.when(gone, "").otherwise(F.col(col(x))) if x in METRIC_LABELS else F.col(col(x))).alias(col(x)) for x in v.labels), "step_ms", "value")
     if not v.unique:

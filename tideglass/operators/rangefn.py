@@ -114,14 +114,11 @@ def _pairs(counts: Column) -> tuple[list[Column], Column]:
 
 
 def _regression(at: str) -> tuple[list[Column], dict[str, Column]]:
-    """Least squares over seconds since `at`: sums, then slope and intercept."""
+    """Least squares over seconds since `at`: slope and intercept; of equal values, exactly none and the value."""
     x = (_ts() - F.col(at)) / 1000.0
-    aggs = [F.count(_v()).alias("n"), F.sum(x).alias("sx"), F.sum(_v()).alias("sy"), F.sum(x * _v()).alias("sxy"), F.sum(x * x).alias("sxx"), F.max(F.isnan(_v()) | (F.abs(_v()) == inf())).alias("odd"), F.min(_v()).alias("lo"), F.max(_v()).alias("hi")]
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov, var = F.col("sxy") - sx * sy / n, F.col("sxx") - sx * sx / n
+    aggs = [F.count(_v()).alias("n"), F.regr_slope(_v(), x).alias("slope"), F.regr_intercept(_v(), x).alias("intercept"), F.max(F.isnan(_v()) | (F.abs(_v()) == inf())).alias("odd"), F.min(_v()).alias("lo"), F.max(_v()).alias("hi")]
     flat = F.col("lo") == F.col("hi")
-    slope = F.when(flat, 0.0).when(var != 0, cov / F.when(var != 0, var).otherwise(1.0)).otherwise(nan())
-    return aggs, {"slope": slope, "intercept": F.when(flat, F.col("lo")).otherwise(sy / n - slope * sx / n)}
+    return aggs, {"slope": F.when(flat, 0.0).otherwise(F.coalesce("slope", nan())), "intercept": F.when(flat, F.col("lo")).otherwise(F.coalesce("intercept", nan()))}
 
 
 def _ordered_values() -> Column:
@@ -143,7 +140,7 @@ def _smoothed(values: Column, sf: Column, tf: Column) -> Column:
 def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args: tuple[Scalar, ...] = (), exact: bool = False) -> Vector:
     """A range function by name over windows of `width` ms; an empty window gives no sample."""
     keys = [*columns(raw.labels), "step_ms"]
-    out = Vector(raw.df, raw.labels, raw.one_name or name in KEEPS_NAME)
+    out = Vector(raw.df, raw.labels, raw.one_name or name in KEEPS_NAME, nameless=name not in KEEPS_NAME)
     drop = F.lit(name not in KEEPS_NAME).alias("drop_name")
 
     def finish(df: DataFrame, value: Column) -> Vector:
@@ -236,4 +233,4 @@ def extended(name: str, mode: str, raw: Raw, grid: Grid, width: int, lookback: i
     value = F.aggregate(path, zero, lambda a, v: F.struct(v.alias("v"), (a["x"] + add(a, v)).alias("x")), lambda a: a["x"])
     if name == "rate":
         value = value / (width / 1000.0)
-    return Vector(df.select(*keys, value.alias("value"), F.lit(True).alias("drop_name")).where("value is not null"), raw.labels, raw.one_name)
+    return Vector(df.select(*keys, value.alias("value"), F.lit(True).alias("drop_name")).where("value is not null"), raw.labels, raw.one_name, nameless=True)

@@ -111,7 +111,7 @@ class Planner:
                 return self.selector(e)
             case Unary():
                 v = self.vector(e.expr)
-                return v if e.op == "+" else _named(v.with_df(v.df.withColumn("value", -F.col("value")).withColumn("drop_name", F.lit(True)), unique=v.unique and _one_name(v)), v)
+                return v if e.op == "+" else _named(v.with_df(v.df.withColumn("value", -F.col("value")).withColumn("drop_name", F.lit(True)), unique=v.unique and _one_name(v), nameless=True), v)
             case Aggregate():
                 param = None if e.param is None else unwrap(e.param).value if e.op == "count_values" else self.scalar(e.param)
                 inner = replace(self, hint=(e.op, () if e.without else e.labels))
@@ -169,7 +169,7 @@ class Planner:
         else:
             v = replace(self, grid=Grid(low, high, step), outer=self.outer or self.grid, instant=False, hint=("", ())).vector(q.expr)
         out, names = v.df, v.labels
-        one = getattr(v, "one_name", False) or NAME not in names
+        one = v.one_name or NAME not in names
         if NAME in names:  # a name that is to go does so here
             out = out.withColumn(col(NAME), F.when(F.col("drop_name"), "").otherwise(F.col(col(NAME))))
         return Raw(out.select(*columns(names), F.col("step_ms").alias("ts_ms"), "value", F.lit(False).alias("is_stale")), names, one)
@@ -210,7 +210,7 @@ class Planner:
 
     def call(self, e: Call) -> Vector:
         name = e.name
-        if name in NATIVE_HISTOGRAMS or name == "histogram_quantiles" and False:
+        if name in NATIVE_HISTOGRAMS:
             # these are of native histograms only; float samples have none
             v = self.vector(e.args[0])
             return v.with_df(v.df.where(F.lit(False)).withColumn("drop_name", F.lit(True)))
@@ -224,7 +224,7 @@ class Planner:
         if name == "timestamp" and isinstance(unwrap(e.args[0]), Selector):
             s = unwrap(e.args[0])
             v = self.selector(s, True)
-            return _named(v.with_df(v.df, unique=v.unique and _one_name(v)), v)
+            return _named(v.with_df(v.df, unique=v.unique and _one_name(v), nameless=True), v)
         if name in mathx.DATES and not e.args:
             v = self.from_scalar(Scalar(F.col("step_ms") / 1000.0))
             return self.mapped(v, mathx.DATES[name](F.col("value")))
@@ -272,7 +272,7 @@ class Planner:
     def mapped(self, v: Vector, value, base: Vector | None = None) -> Vector:
         base = base or v
         df = v.df.select(*columns(base.labels), "step_ms", value.cast("double").alias("value"), F.lit(True).alias("drop_name"))
-        return _named(base.with_df(df, unique=base.unique and _one_name(base), order=[]), base)
+        return _named(base.with_df(df, unique=base.unique and _one_name(base), order=[], nameless=True), base)
 
     def absent(self, e: Call) -> Vector:
         """1 at the steps without any series, with the labels that the selector's equalities fix."""
@@ -323,11 +323,11 @@ class Planner:
 
 
 def _one_name(v: Vector) -> bool:
-    return getattr(v, "one_name", False) or NAME not in v.labels
+    return v.one_name or NAME not in v.labels
 
 
 def _named(v: Vector, like: Vector) -> Vector:
-    v.one_name = getattr(like, "one_name", False)
+    v.one_name = like.one_name
     return v
 
 
