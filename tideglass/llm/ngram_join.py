@@ -160,6 +160,17 @@ def _can_link(i: str, n: str, j: str, m: str):
     return _similar(n, m) & ((F.col(i) < 0) | (F.col(j) < 0) | ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col(n) + F.col(m))))
 
 
+def _enough(shared: str, n: str, m: str):
+    """Whether sets of n and m tokens whose prefixes, rare tokens only, share so many can reach the threshold.
+
+    The prefix that ends first holds all that its set shares up to there; at most n - p tokens come after it.
+    Which one that is does not show here, so the bound is that of the larger set.
+    """
+    total = NUMERATOR * (F.col(n) + F.col(m))
+    need = F.ceil(total / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)
+    return F.col(shared) >= need - F.ceil(F.greatest(n, m) * NUMERATOR / float(DENOMINATOR) - 1e-9) + 1
+
+
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
 
@@ -217,7 +228,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            n, nodes, keys_, places = [], [], [], []
+            n, nodes, keys_, places, whole = [], [], [], [], []
             for _, found in _sets(batch):
                 for s in found:
                     k, at = prefix_keys(s, frequent.value)
@@ -226,15 +237,16 @@ def index_documents(docs: DataFrame) -> DataFrame:
                     nodes.append(_node(s) if len(s) else None)
                     keys_.append(k[hit].view(np.int64))
                     places.append(at[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys_, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "keys", "places"])
+                    whole.append(bool((at >= 0).all()) and len(at) == (prefix_length(len(s)) if len(s) else 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys_, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "keys", "places", "whole"])
 
-    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, places array<int>"), "shingles")
+    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, places array<int>, whole boolean"), "shingles")
 
 
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all nodes that have a link."""
-    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first(F.struct("keys", "places")).alias("k"))
-    rows = written(nodes.select("node", "n", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
+    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
+    rows = written(nodes.select("node", "n", "whole", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", "whole", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
 
     turn = F.xxhash64("node", F.pmod("key", F.lit(CENTRES)))
     centres = rows.groupBy("key").agg(F.min(F.struct(turn, "node", "n", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -249,10 +261,12 @@ def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     placed = written(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     open_ = written(placed.join(written(mixed, "mixed"), "key"), "open")
-    x = open_.select("key", F.col("node").alias("node_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("component").alias("c_x"))
-    y = open_.select("key", F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("component").alias("c_y"))
-    rest = x.join(y, "key").where("c_x < c_y").where(_can_link("place_x", "n_x", "place_y", "n_y"))
-    rest = rest.select(*_ordered("node_x", "node_y")).distinct().join(pairs, ["a", "b"], "left_anti")
+    x = open_.select("key", F.col("node").alias("node_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("component").alias("c_x"), F.col("whole").alias("w_x"))
+    y = open_.select("key", F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("component").alias("c_y"), F.col("whole").alias("w_y"))
+    met = x.join(y, "key").where("c_x < c_y").where(_similar("n_x", "n_y"))
+    met = met.groupBy("node_x", "node_y", "n_x", "n_y", "w_x", "w_y").agg(F.count(F.lit(1)).alias("shared"), F.max(_can_link("place_x", "n_x", "place_y", "n_y")).alias("can"))
+    met = met.where("can").where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y"))
+    rest = met.select(*_ordered("node_x", "node_y")).join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(_verify(rest, docs), "more")
     if more.isEmpty():
