@@ -18,11 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 NONE = np.int32(2**31 - 1)
 #: Pieces longer than this merge on a heap: the same merges in the same order, without quadratic work.
 LONG = 1024
 #: Cells of one matrix, characters of text in one step, and pieces remembered between steps.
-CELLS, STEP_CHARS, REMEMBERED = 1 << 19, 1 << 20, 300_000
+CELLS, STEP_CHARS, REMEMBERED = 1 << 19, 1 << 20, 100_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -177,6 +179,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     give a row; other columns are not read.  Texts and pieces may be of any length.
     """
 
+    small_batches(docs)
+
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Pack, Ranges, crc_mod, partitions, shared_dir, word_hashes, written
+from .common import U, Pack, Ranges, crc_mod, partitions, shared_dir, small_batches, word_hashes, written
 
 DEPTH = 4
 EDGE = 0xFF  # no byte of UTF-8: stands before the first byte and is coded as the end
@@ -386,6 +386,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    small_batches(docs)
     counts = written(merged(count_training(docs, max(1, int(partitions(docs) ** 0.5)))), "merged")
     model = spark.sparkContext.broadcast(train(counts.where("kind = 0")))
 

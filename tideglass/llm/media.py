@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import cuts
-from .common import Pack, Ranges, repeat_filter, shared_dir, steps, texts_of, written
+from .common import Pack, Ranges, repeat_filter, shared_dir, small_batches, steps, texts_of, written
 
 UNIT, PAD = 576, b"\xff"
 BITS, LEAST, MOST = 11, 1024, 16384
@@ -54,6 +54,7 @@ def store(docs: DataFrame) -> DataFrame:
     """Writes the payloads of docs' texts; returns the manifest: a row for each chunk of each medium, with its place."""
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
+    small_batches(docs)
     repeats = repeat_filter(docs, _keys)
 
     def put(batches):

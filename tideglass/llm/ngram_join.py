@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix64, random_table, repeat_filter, steps, texts_of, word_hashes, written
+from .common import U, mix64, random_table, repeat_filter, small_batches, steps, texts_of, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -282,6 +282,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     component has an id.  Repeated rows each give a row.  An empty table gives an empty result; other
     columns are not read.
     """
+    small_batches(docs)
     table = index_documents(docs)
     found = node_components(table, docs)
     own = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))

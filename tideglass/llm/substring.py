@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunking import cuts
-from .common import repeat_filter, steps, texts_of, written
+from .common import repeat_filter, small_batches, steps, texts_of, written
 
 BITS, LEAST, MOST, LEAST_RUN = 5, 24, 512, 96
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -83,6 +83,7 @@ def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     as they are, with no span; null ids come last in the order of first occurrence.  A column of docs
     that is called like one of these is replaced.
     """
+    small_batches(docs)
     repeats = repeated_chunks(docs.select("doc_id", "text"))
     # runs of adjacent repeats; a document's own chunks only, so no group is larger than a text
     runs = repeats.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "first_id"))).alias("parts"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import steps, texts_of
+from .common import small_batches, steps, texts_of
 
 #: Distinct words remembered between steps.
 REMEMBERED = 400_000
@@ -121,5 +121,6 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             n = np.array(found, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(n[:, k]) for k in range(3))], names)
 
+    small_batches(docs)
     names = ["doc_id", "n_bytes", "n_words", "n_tokens", "n_unknown"]
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
