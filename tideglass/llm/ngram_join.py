@@ -8,9 +8,10 @@ indexed key: at most p - 1 tokens of the prefix that ends first are not in the o
 or two frequent ones are.
 
 Candidates are verified on whole sets.  First every document is compared with a few centres of the keys it
-has; the links found give components.  Then, for each key whose documents are still in several components,
-the documents of different components are compared.  So large groups of copies cost a few comparisons each,
-and no link that joins two components is lost.  Equal sets are one node from the start.
+has; the links found give components.  Then the documents of different components that still share keys are
+compared: they meet once for each hub of their keys (not for each key) and only if the keys shared there leave the
+threshold in reach.  So large groups of copies cost a few comparisons each, and no link that joins two components is
+lost.  Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -160,15 +161,22 @@ def _can_link(i: str, n: str, j: str, m: str):
     return _similar(n, m) & ((F.col(i) < 0) | (F.col(j) < 0) | ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col(n) + F.col(m))))
 
 
-def _enough(shared: str, n: str, m: str):
-    """Whether sets of n and m tokens whose prefixes, rare tokens only, share so many can reach the threshold.
+def _least_shared(n: str, m: str, first: str):
+    """How many tokens of their prefixes, rare tokens only, sets of n and m must share to reach the threshold if the prefix of the set of `first` tokens ends first.
 
-    The prefix that ends first holds all that its set shares up to there; at most n - p tokens come after it.
-    Which one that is does not show here, so the bound is that of the larger set.
+    That prefix holds all that the sets share up to its end; at most n - p of its set's tokens come after it.
     """
     total = NUMERATOR * (F.col(n) + F.col(m))
     need = F.ceil(total / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)
-    return F.col(shared) >= need - F.ceil(F.greatest(n, m) * NUMERATOR / float(DENOMINATOR) - 1e-9) + 1
+    return need - F.ceil(F.col(first) * NUMERATOR / float(DENOMINATOR) - 1e-9) + 1
+
+
+def _enough(shared: str, n: str, m: str):
+    """Whether sets of n and m tokens whose prefixes, rare tokens only, share so many can reach the threshold.
+
+    Which prefix ends first does not show here, so one of both bounds must hold.
+    """
+    return F.col(shared) >= F.least(_least_shared(n, m, n), _least_shared(n, m, m))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -243,6 +251,30 @@ def index_documents(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, places array<int>, whole boolean"), "shingles")
 
 
+def _meetings(open_: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that share a key, a row for each hub of such keys with the number of keys shared there.
+
+    open_ has key, node, n, whole, component, hub.  All keys that two nodes share are in it, and each key has one
+    hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
+    sharing too little can't reach the threshold.  Nodes of a hub's largest component meet only the others, so a large group
+    is not joined with itself.  A list of keys is no longer than one document's prefix.
+    """
+    lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
+    every = open_.groupBy("node").agg(F.count(F.lit(1)).alias("every"))
+    lists = written(lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every"), "lists")
+    largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
+    lists = written(lists.join(largest, "hub"), "lists")
+
+    def side(s: str) -> DataFrame:
+        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"))), *(["largest"] if s == "x" else []))
+
+    shared = F.size(F.array_intersect("keys_x", "keys_y"))
+    least = F.least(*(_least_shared("n_x", "n_y", f"n_{s}") - F.col(f"else_{s}") for s in "xy"))
+    met = side("x").where("c_x != largest").join(side("y"), "hub").where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
+    met = met.where(_similar("n_x", "n_y")).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
+    return met.select("node_x", "node_y", "n_x", "n_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
+
+
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all nodes that have a link."""
     nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
@@ -256,16 +288,14 @@ def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     links = written(_verify(pairs, docs), "links")
     first = written(components(links), "components")
 
-    # what is left: keys whose documents are in several components
+    # what is left: keys whose documents are in several components, dealt to the least document (by hash) that has the key
     placed = rows.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    open_ = written(placed.join(written(mixed, "mixed"), "key"), "open")
-    x = open_.select("key", F.col("node").alias("node_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"), F.col("component").alias("c_x"), F.col("whole").alias("w_x"))
-    y = open_.select("key", F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"), F.col("component").alias("c_y"), F.col("whole").alias("w_y"))
-    met = x.join(y, "key").where("c_x < c_y").where(_similar("n_x", "n_y"))
-    met = met.groupBy("node_x", "node_y", "n_x", "n_y", "w_x", "w_y").agg(F.count(F.lit(1)).alias("shared"), F.max(_can_link("place_x", "n_x", "place_y", "n_y")).alias("can"))
-    met = met.where("can").where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y"))
+    placed = written(placed.drop("place"), "placed")
+    hub = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low != high").select("key", "hub")
+    met = _meetings(placed.join(written(mixed, "mixed"), "key"))
+    met = met.groupBy("node_x", "node_y", "n_x", "n_y", "w_x", "w_y").agg(F.sum("shared").alias("shared"))
+    met = met.where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y"))
     rest = met.select(*_ordered("node_x", "node_y")).join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(_verify(rest, docs), "more")
