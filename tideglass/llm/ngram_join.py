@@ -30,7 +30,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: A token is frequent if documents with more than so many different least shingles hold it; at most so many tokens are.
 SPREAD, MAX_FREQUENT = 12, 1 << 19
-#: Centres that a document meets in a large group of one key class.
+#: Classes of keys; documents meet one centre for each class in a large group.
 CENTRES = 4
 COEFFICIENTS = random_table(SHINGLE, 11) | U(1)
 SHORT = random_table(SHINGLE, 12)
@@ -61,6 +61,11 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+def _prefix_length(n):
+    """prefix_length of a column."""
+    return n - F.ceil(n * NUMERATOR / float(DENOMINATOR) - 1e-9) + 1
+
+
 def prefix_keys(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys that a set indexes, and each one's place among the set's tokens (-1 for combinations)."""
     p = prefix_length(len(s))
@@ -280,9 +285,12 @@ def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
     rows = written(nodes.select("node", "n", "whole", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", "whole", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
 
-    turn = F.xxhash64("node", F.pmod("key", F.lit(CENTRES)))
-    centres = rows.groupBy("key").agg(F.min(F.struct(turn, "node", "n", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    centres = written(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp")), "centres")
+    # half of the key classes take the document with the most widespread keys: of a group of edited copies, the one nearest to all others
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    weight = rows.join(many, "key").groupBy("node").agg((F.sum("m") / _prefix_length(F.first("n"))).alias("weight"))
+    turn = F.when(F.pmod("key", F.lit(CENTRES)) < CENTRES // 2, -F.col("weight")).otherwise(F.xxhash64("node", F.pmod("key", F.lit(CENTRES))))
+    chosen = rows.join(written(weight, "weights"), "node").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    centres = written(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp")), "centres")
     near = rows.join(centres, "key").where("node != centre").where(_can_link("place", "n", "cp", "cn"))
     pairs = written(near.select(*_ordered("node", "centre")).distinct(), "pairs")
     links = written(_verify(pairs, docs), "links")
