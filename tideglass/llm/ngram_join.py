@@ -155,15 +155,15 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
     return np.sort(top.view(U)) if len(top) else np.zeros(0, U)
 
 
-def _similar(n: str, m: str):
-    """Whether sets of n and m tokens can reach the threshold at all."""
-    return NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)
+def _similar(n: str, m: str, r: str, q: str):
+    """Whether sets of n and m tokens, of which r and q are in other sets too, can reach the threshold at all."""
+    return (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & ((DENOMINATOR + NUMERATOR) * F.least(r, q) >= NUMERATOR * (F.col(n) + F.col(m)))
 
 
-def _can_link(i: str, n: str, j: str, m: str):
+def _can_link(i: str, n: str, r: str, j: str, m: str, q: str):
     """Whether sets whose first common token is at places i and j can reach the threshold; true if it comes later."""
     most = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
-    return _similar(n, m) & ((F.col(i) < 0) | (F.col(j) < 0) | ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col(n) + F.col(m))))
+    return _similar(n, m, r, q) & ((F.col(i) < 0) | (F.col(j) < 0) | ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col(n) + F.col(m))))
 
 
 def _least_shared(n: str, m: str, first: str):
@@ -227,7 +227,11 @@ def _ordered(a: str, b: str):
 
 
 def index_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null for an empty one) and the repeating keys of every row, as a table."""
+    """doc_id, n_shingles, node (digest of the set; null for an empty one), common and the repeating keys of every row, as a table.
+
+    common is at least the number of the set's tokens that other sets hold too: those that pass the repeat filter.
+    Two sets share no more than the lesser of their two.  A full filter only makes it a weaker bound.
+    """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
@@ -235,63 +239,68 @@ def index_documents(docs: DataFrame) -> DataFrame:
     def keys(batch):
         for _, found in _sets(batch):
             # equal sets in a step count once
-            yield np.concatenate([prefix_keys(s, frequent.value)[0] for s in {_node(s): s for s in found}.values()] or [np.zeros(0, U)])
+            for s in {_node(s): s for s in found}.values():
+                k, at = prefix_keys(s, frequent.value)
+                yield np.concatenate((s, k[at < 0]))
 
     repeats = repeat_filter(docs, keys)
 
     def emit(batches):
         for batch in batches:
-            n, nodes, keys_, places, whole = [], [], [], [], []
+            n, nodes, common, keys_, places, whole = [], [], [], [], [], []
             for _, found in _sets(batch):
                 for s in found:
                     k, at = prefix_keys(s, frequent.value)
-                    hit = repeats.value(k) if len(k) else np.zeros(0, bool)
+                    again = int(repeats.value(s).sum()) if len(s) else 0
+                    # a set of which under the threshold's share is anywhere else has no link to another set
+                    hit = repeats.value(k) if DENOMINATOR * again >= NUMERATOR * len(s) and len(s) else np.zeros(len(k), bool)
                     n.append(len(s))
+                    common.append(again)
                     nodes.append(_node(s) if len(s) else None)
                     keys_.append(k[hit].view(np.int64))
                     places.append(at[hit])
                     whole.append(bool((at >= 0).all()) and len(at) == (prefix_length(len(s)) if len(s) else 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys_, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "keys", "places", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "common", "keys", "places", "whole"])
 
-    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>, places array<int>, whole boolean"), "shingles")
+    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, places array<int>, whole boolean"), "shingles")
 
 
 def _meetings(open_: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that share a key, a row for each hub of such keys with the number of keys shared there.
 
-    open_ has key, node, n, whole, component, hub.  All keys that two nodes share are in it, and each key has one
+    open_ has key, node, n, common, whole, component, hub.  All keys that two nodes share are in it, and each key has one
     hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
     sharing too little can't reach the threshold.  Nodes of a hub's largest component meet only the others, so a large group
     is not joined with itself.  A list of keys is no longer than one document's prefix.
     """
-    lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
+    lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
     every = open_.groupBy("node").agg(F.count(F.lit(1)).alias("every"))
     lists = written(lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every"), "lists")
     largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
     lists = written(lists.join(largest, "hub"), "lists")
 
     def side(s: str) -> DataFrame:
-        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"))), *(["largest"] if s == "x" else []))
+        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"))), *(["largest"] if s == "x" else []))
 
     shared = F.size(F.array_intersect("keys_x", "keys_y"))
     least = F.least(*(_least_shared("n_x", "n_y", f"n_{s}") - F.col(f"else_{s}") for s in "xy"))
     met = side("x").where("c_x != largest").join(side("y"), "hub").where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
-    met = met.where(_similar("n_x", "n_y")).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
+    met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
     return met.select("node_x", "node_y", "n_x", "n_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
 
 
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all nodes that have a link."""
-    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
-    rows = written(nodes.select("node", "n", "whole", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", "whole", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
+    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("common").alias("common"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
+    rows = written(nodes.select("node", "n", "common", "whole", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", "common", "whole", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
 
     # half of the key classes take the document with the most widespread keys: of a group of edited copies, the one nearest to all others
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     weight = rows.join(many, "key").groupBy("node").agg((F.sum("m") / _prefix_length(F.first("n"))).alias("weight"))
     turn = F.when(F.pmod("key", F.lit(CENTRES)) < CENTRES // 2, -F.col("weight")).otherwise(F.xxhash64("node", F.pmod("key", F.lit(CENTRES))))
-    chosen = rows.join(written(weight, "weights"), "node").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    centres = written(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp")), "centres")
-    near = rows.join(centres, "key").where("node != centre").where(_can_link("place", "n", "cp", "cn"))
+    chosen = rows.join(written(weight, "weights"), "node").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "common", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    centres = written(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.common").alias("cr"), F.col("c.place").alias("cp")), "centres")
+    near = rows.join(centres, "key").where("node != centre").where(_can_link("place", "n", "common", "cp", "cn", "cr"))
     pairs = written(near.select(*_ordered("node", "centre")).distinct(), "pairs")
     links = written(_verify(pairs, docs), "links")
     first = written(components(links), "components")
