@@ -7,7 +7,7 @@ frequent ones, of which it indexes every combination of two.  Any two sets with
 indexed key: at most p - 1 tokens of the prefix that ends first are not in the other set, so either one rare token is shared
 or two frequent ones are.
 
-Candidates are verified on whole sets.  First every document is compared with a few centres of the keys it
+Candidates are verified on whole sets.  First every document is compared with the centres of the keys it
 has; the links found give components.  Then the documents of different components that still share keys are
 compared: they meet once for each hub of their keys (not for each key) and only if the keys shared there leave the
 threshold in reach.  So large groups of copies cost a few comparisons each, and no link that joins two components is
@@ -30,8 +30,6 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: A token is frequent if documents with more than so many different least shingles hold it; at most so many tokens are.
 SPREAD, MAX_FREQUENT = 12, 1 << 19
-#: Classes of keys; documents meet one centre for each class in a large group.
-CENTRES = 4
 COEFFICIENTS = random_table(SHINGLE, 11) | U(1)
 SHORT = random_table(SHINGLE, 12)
 
@@ -160,12 +158,6 @@ def _similar(n: str, m: str, r: str, q: str):
     return (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & ((DENOMINATOR + NUMERATOR) * F.least(r, q) >= NUMERATOR * (F.col(n) + F.col(m)))
 
 
-def _can_link(i: str, n: str, r: str, j: str, m: str, q: str):
-    """Whether sets whose first common token is at places i and j can reach the threshold; true if it comes later."""
-    most = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
-    return _similar(n, m, r, q) & ((F.col(i) < 0) | (F.col(j) < 0) | ((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col(n) + F.col(m))))
-
-
 def _least_shared(n: str, m: str, first: str):
     """How many tokens of their prefixes, rare tokens only, sets of n and m must share to reach the threshold if the prefix of the set of `first` tokens ends first.
 
@@ -184,8 +176,8 @@ def _enough(shared: str, n: str, m: str):
     return F.col(shared) >= F.least(_least_shared(n, m, n), _least_shared(n, m, m))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each pair (a, b) of nodes: how many tokens the whole sets share, and whether that reaches the threshold."""
 
     def keys(batch):
         for c in batch.columns:
@@ -212,14 +204,15 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            keep = []
+            counts, linked = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both = np.sort(np.frombuffer(x + y, U))
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(DENOMINATOR * common >= NUMERATOR * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                counts.append(common)
+                linked.append(DENOMINATOR * common >= NUMERATOR * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, shared bigint, linked boolean")
 
 
 def _ordered(a: str, b: str):
@@ -247,7 +240,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            n, nodes, common, keys_, places, whole = [], [], [], [], [], []
+            n, nodes, common, keys_, whole = [], [], [], [], []
             for _, found in _sets(batch):
                 for s in found:
                     k, at = prefix_keys(s, frequent.value)
@@ -258,64 +251,67 @@ def index_documents(docs: DataFrame) -> DataFrame:
                     common.append(again)
                     nodes.append(_node(s) if len(s) else None)
                     keys_.append(k[hit].view(np.int64))
-                    places.append(at[hit])
                     whole.append(bool((at >= 0).all()) and len(at) == (prefix_length(len(s)) if len(s) else 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "common", "keys", "places", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "common", "keys", "whole"])
 
-    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, places array<int>, whole boolean"), "shingles")
+    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, whole boolean"), "shingles")
 
 
-def _meetings(open_: DataFrame) -> DataFrame:
+def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that share a key, a row for each hub of such keys with the number of keys shared there.
 
     open_ has key, node, n, common, whole, component, hub.  All keys that two nodes share are in it, and each key has one
     hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
-    sharing too little can't reach the threshold.  Nodes of a hub's largest component meet only the others, so a large group
+    sharing too little can't reach the threshold.  Where both were compared with the hub's set, what they share is
+    bounded too: inside that set by the lesser of what they share with it, outside by their other common tokens.  Nodes of a hub's largest component meet only the others, so a large group
     is not joined with itself.  A list of keys is no longer than one document's prefix.
     """
     lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
     every = open_.groupBy("node").agg(F.count(F.lit(1)).alias("every"))
-    lists = written(lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every"), "lists")
+    lists = lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every")
+    lists = lists.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(judged.select("a", "b", "shared"), ["a", "b"], "left")
+    lists = written(lists.withColumn("inside", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "shared"), "lists")
     largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
     lists = written(lists.join(largest, "hub"), "lists")
 
     def side(s: str) -> DataFrame:
-        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"))), *(["largest"] if s == "x" else []))
+        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"))), *(["largest"] if s == "x" else []))
 
     shared = F.size(F.array_intersect("keys_x", "keys_y"))
     least = F.least(*(_least_shared("n_x", "n_y", f"n_{s}") - F.col(f"else_{s}") for s in "xy"))
     met = side("x").where("c_x != largest").join(side("y"), "hub").where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
-    met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
+    outside = F.least(*(F.greatest(F.col(f"r_{s}") - F.col(f"in_{s}"), F.lit(0)) for s in "xy"))
+    most = F.when(F.col("in_x").isNotNull() & F.col("in_y").isNotNull(), F.least("in_x", "in_y") + outside).otherwise(F.least("r_x", "r_y"))
+    met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
     return met.select("node_x", "node_y", "n_x", "n_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
 
 
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all nodes that have a link."""
-    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("common").alias("common"), F.first("whole").alias("whole"), F.first(F.struct("keys", "places")).alias("k"))
-    rows = written(nodes.select("node", "n", "common", "whole", F.explode(F.arrays_zip("k.keys", "k.places")).alias("e")).select("node", "n", "common", "whole", F.col("e.keys").alias("key"), F.col("e.places").alias("place")), "keys")
+    nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("common").alias("common"), F.first("whole").alias("whole"), F.first("keys").alias("keys"))
+    rows = written(nodes.select("node", "n", "common", "whole", F.explode("keys").alias("key")), "keys")
 
-    # half of the key classes take the document with the most widespread keys: of a group of edited copies, the one nearest to all others
+    # the centre of a key is its document with the most widespread keys: of a group of edited copies, the one nearest to all others
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     weight = rows.join(many, "key").groupBy("node").agg((F.sum("m") / _prefix_length(F.first("n"))).alias("weight"))
-    turn = F.when(F.pmod("key", F.lit(CENTRES)) < CENTRES // 2, -F.col("weight")).otherwise(F.xxhash64("node", F.pmod("key", F.lit(CENTRES))))
-    chosen = rows.join(written(weight, "weights"), "node").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "common", "place")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    centres = written(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.common").alias("cr"), F.col("c.place").alias("cp")), "centres")
-    near = rows.join(centres, "key").where("node != centre").where(_can_link("place", "n", "common", "cp", "cn", "cr"))
+    chosen = rows.join(written(weight, "weights"), "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "common")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    centres = written(chosen.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), F.col("c.common").alias("cr")), "centres")
+    near = rows.join(centres, "key").where("node != centre").where(_similar("n", "cn", "common", "cr"))
     pairs = written(near.select(*_ordered("node", "centre")).distinct(), "pairs")
-    links = written(_verify(pairs, docs), "links")
-    first = written(components(links), "components")
+    judged = written(_judge(pairs, docs), "judged")
+    first = written(components(judged.where("linked")), "components")
 
-    # what is left: keys whose documents are in several components, dealt to the least document (by hash) that has the key
+    # what is left: keys whose documents are in several components
     placed = rows.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed.drop("place"), "placed")
-    hub = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("hub")).where("low != high").select("key", "hub")
-    met = _meetings(placed.join(written(mixed, "mixed"), "key"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    mixed = written(mixed.join(centres, "key").select("key", F.col("centre").alias("hub")), "mixed")
+    met = _meetings(placed.join(mixed, "key"), judged)
     met = met.groupBy("node_x", "node_y", "n_x", "n_y", "w_x", "w_y").agg(F.sum("shared").alias("shared"))
     met = met.where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y"))
     rest = met.select(*_ordered("node_x", "node_y")).join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
-    more = written(_verify(rest, docs), "more")
+    more = written(_judge(rest, docs).where("linked").select("a", "b"), "more")
     if more.isEmpty():
         return first
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
