@@ -158,22 +158,20 @@ def _similar(n: str, m: str, r: str, q: str):
     return (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & ((DENOMINATOR + NUMERATOR) * F.least(r, q) >= NUMERATOR * (F.col(n) + F.col(m)))
 
 
-def _least_shared(n: str, m: str, first: str):
-    """How many tokens of their prefixes, rare tokens only, sets of n and m must share to reach the threshold if the prefix of the set of `first` tokens ends first.
+def _least_shared(n: str, m: str, after: str):
+    """How many tokens of their prefixes, rare tokens only, sets of n and m must share to reach the threshold if the prefix that `after` common tokens follow ends first.
 
-    That prefix holds all that the sets share up to its end; at most n - p of its set's tokens come after it.
+    That prefix holds all that the sets share up to its end.
     """
-    total = NUMERATOR * (F.col(n) + F.col(m))
-    need = F.ceil(total / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9)
-    return need - F.ceil(F.col(first) * NUMERATOR / float(DENOMINATOR) - 1e-9) + 1
+    return F.ceil(NUMERATOR * (F.col(n) + F.col(m)) / F.lit(float(NUMERATOR + DENOMINATOR)) - 1e-9) - F.col(after)
 
 
-def _enough(shared: str, n: str, m: str):
+def _enough(shared: str, n: str, m: str, after: str, after_m: str):
     """Whether sets of n and m tokens whose prefixes, rare tokens only, share so many can reach the threshold.
 
     Which prefix ends first does not show here, so one of both bounds must hold.
     """
-    return F.col(shared) >= F.least(_least_shared(n, m, n), _least_shared(n, m, m))
+    return F.col(shared) >= F.least(_least_shared(n, m, after), _least_shared(n, m, after_m))
 
 
 def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -260,13 +258,13 @@ def index_documents(docs: DataFrame) -> DataFrame:
 def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that share a key, a row for each hub of such keys with the number of keys shared there.
 
-    open_ has key, node, n, common, whole, component, hub.  All keys that two nodes share are in it, and each key has one
+    open_ has key, node, n, common, after, whole, component, hub.  All keys that two nodes share are in it, and each key has one
     hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
     sharing too little can't reach the threshold.  Where both were compared with the hub's set, what they share is
     bounded too: inside that set by the lesser of what they share with it, outside by their other common tokens.  Nodes of a hub's largest component meet only the others, so a large group
     is not joined with itself.  A list of keys is no longer than one document's prefix.
     """
-    lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
+    lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("after").alias("after"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
     every = open_.groupBy("node").agg(F.count(F.lit(1)).alias("every"))
     lists = lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every")
     lists = lists.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(judged.select("a", "b", "shared"), ["a", "b"], "left")
@@ -275,21 +273,23 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     lists = written(lists.join(largest, "hub"), "lists")
 
     def side(s: str) -> DataFrame:
-        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"))), *(["largest"] if s == "x" else []))
+        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("after", "after"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"))), *(["largest"] if s == "x" else []))
 
     shared = F.size(F.array_intersect("keys_x", "keys_y"))
-    least = F.least(*(_least_shared("n_x", "n_y", f"n_{s}") - F.col(f"else_{s}") for s in "xy"))
+    least = F.least(*(_least_shared("n_x", "n_y", f"after_{s}") - F.col(f"else_{s}") for s in "xy"))
     met = side("x").where("c_x != largest").join(side("y"), "hub").where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
     outside = F.least(*(F.greatest(F.col(f"r_{s}") - F.col(f"in_{s}"), F.lit(0)) for s in "xy"))
     most = F.when(F.col("in_x").isNotNull() & F.col("in_y").isNotNull(), F.least("in_x", "in_y") + outside).otherwise(F.least("r_x", "r_y"))
     met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
-    return met.select("node_x", "node_y", "n_x", "n_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
+    return met.select("node_x", "node_y", "n_x", "n_y", "after_x", "after_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
 
 
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of all nodes that have a link."""
     nodes = table.where("node is not null and size(keys) > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("common").alias("common"), F.first("whole").alias("whole"), F.first("keys").alias("keys"))
-    rows = written(nodes.select("node", "n", "common", "whole", F.explode("keys").alias("key")), "keys")
+    nodes = nodes.withColumn("after", F.col("common") - F.size("keys"))  # common tokens after the prefix
+
+    rows = written(nodes.select("node", "n", "common", "after", "whole", F.explode("keys").alias("key")), "keys")
 
     # the centre of a key is its document with the most widespread keys: of a group of edited copies, the one nearest to all others
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -307,8 +307,8 @@ def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     mixed = written(mixed.join(centres, "key").select("key", F.col("centre").alias("hub")), "mixed")
     met = _meetings(placed.join(mixed, "key"), judged)
-    met = met.groupBy("node_x", "node_y", "n_x", "n_y", "w_x", "w_y").agg(F.sum("shared").alias("shared"))
-    met = met.where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y"))
+    met = met.groupBy("node_x", "node_y", "n_x", "n_y", "after_x", "after_y", "w_x", "w_y").agg(F.sum("shared").alias("shared"))
+    met = met.where(~(F.col("w_x") & F.col("w_y")) | _enough("shared", "n_x", "n_y", "after_x", "after_y"))
     rest = met.select(*_ordered("node_x", "node_y")).join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     more = written(_judge(rest, docs).where("linked").select("a", "b"), "more")
