@@ -175,7 +175,7 @@ def _enough(shared: str, n: str, m: str, after: str, after_m: str):
 
 
 def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of each pair (a, b) of nodes: how many tokens the whole sets share, and whether that reaches the threshold."""
+    """Of each pair (a, b) of nodes: how many tokens the whole sets share, whether that reaches the threshold, and the tokens that only a or only b has."""
 
     def keys(batch):
         for c in batch.columns:
@@ -202,15 +202,19 @@ def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            counts, linked = [], []
+            counts, linked, only = [], [], ([], [])
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.frombuffer(x + y, U))
-                common = int((both[1:] == both[:-1]).sum())
+                u, v = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = np.sort(np.concatenate((u, v)))
+                both = both[:-1][both[1:] == both[:-1]]
+                common = len(both)
+                for held, w in zip(only, (u, v), strict=True):
+                    held.append(np.setdiff1d(w, both, assume_unique=True).view(np.int64))
                 counts.append(common)
-                linked.append(DENOMINATOR * common >= NUMERATOR * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"])
+                linked.append(DENOMINATOR * common >= NUMERATOR * (len(u) + len(v) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(linked, pa.bool_()), *(pa.array(held, pa.list_(pa.int64())) for held in only)], ["a", "b", "shared", "linked", "only_a", "only_b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, shared bigint, linked boolean")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, shared bigint, linked boolean, only_a array<bigint>, only_b array<bigint>")
 
 
 def _ordered(a: str, b: str):
@@ -261,19 +265,23 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     open_ has key, node, n, common, after, whole, component, hub.  All keys that two nodes share are in it, and each key has one
     hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
     sharing too little can't reach the threshold.  Where both were compared with the hub's set, what they share is
-    bounded too: inside that set by the lesser of what they share with it, outside by their other common tokens.  Nodes of a hub's largest component meet only the others, so a large group
+    bounded too (inside that set by the lesser of what they share with it, outside by their other common tokens), and
+    then counted from their differences from it.  Nodes of a hub's largest component meet only the others, so a large group
     is not joined with itself.  A list of keys is no longer than one document's prefix.
     """
     lists = open_.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("common").alias("common"), F.first("after").alias("after"), F.first("whole").alias("whole"), F.first("component").alias("component"), F.collect_list("key").alias("keys"))
     every = open_.groupBy("node").agg(F.count(F.lit(1)).alias("every"))
     lists = lists.join(every, "node").withColumn("elsewhere", F.col("every") - F.size("keys")).drop("every")
-    lists = lists.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(judged.select("a", "b", "shared"), ["a", "b"], "left")
-    lists = written(lists.withColumn("inside", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "shared"), "lists")
+    lists = lists.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(judged.select("a", "b", "shared", "only_a", "only_b"), ["a", "b"], "left")
+    none, hub_first = F.array().cast("array<bigint>"), F.col("a") == F.col("hub")
+    lists = lists.withColumn("missing", F.when(F.col("hub") == F.col("node"), none).when(hub_first, F.col("only_a")).otherwise(F.col("only_b")))
+    lists = lists.withColumn("extra", F.when(F.col("hub") == F.col("node"), none).when(hub_first, F.col("only_b")).otherwise(F.col("only_a")))
+    lists = written(lists.withColumn("inside", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "shared", "only_a", "only_b"), "lists")
     largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
     lists = written(lists.join(largest, "hub"), "lists")
 
     def side(s: str) -> DataFrame:
-        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("after", "after"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"))), *(["largest"] if s == "x" else []))
+        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("after", "after"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"), ("missing", "missing"), ("extra", "extra"))), *(["largest"] if s == "x" else []))
 
     shared = F.size(F.array_intersect("keys_x", "keys_y"))
     least = F.least(*(_least_shared("n_x", "n_y", f"after_{s}") - F.col(f"else_{s}") for s in "xy"))
@@ -281,6 +289,9 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     outside = F.least(*(F.greatest(F.col(f"r_{s}") - F.col(f"in_{s}"), F.lit(0)) for s in "xy"))
     most = F.when(F.col("in_x").isNotNull() & F.col("in_y").isNotNull(), F.least("in_x", "in_y") + outside).otherwise(F.least("r_x", "r_y"))
     met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
+    # both as differences from the hub's set, that is exact
+    exact = F.col("in_x") + F.size("missing_x") - F.size(F.array_union("missing_x", "missing_y")) + F.size(F.array_intersect("extra_x", "extra_y"))
+    met = met.where(F.col("in_x").isNull() | F.col("in_y").isNull() | ((DENOMINATOR + NUMERATOR) * exact >= NUMERATOR * (F.col("n_x") + F.col("n_y"))))
     return met.select("node_x", "node_y", "n_x", "n_y", "after_x", "after_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
 
 
