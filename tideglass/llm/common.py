@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -54,6 +55,21 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInArrow, with freed memory given back at the task's end: workers wait for the next task with what they hold."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -157,7 +173,7 @@ class RepeatFilter:
         return (self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 != 0
 
 
-def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int = 27, flush: int = 2_000_000, least: int = 2):
+def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int = 27, flush: int = 500_000, least: int = 2):
     """Broadcast RepeatFilter of the uint64 keys that `keys` yields for df's batches (least=1: of all keys).
 
     Each task sends a key at most twice for every `flush` keys, dealt by the key's top bits, so a
@@ -170,7 +186,9 @@ def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.nd
         held, n = [], 0
 
         def out():
-            a = np.sort(np.concatenate(held))
+            a = np.concatenate(held)
+            held.clear()
+            a.sort()
             keep = np.ones(len(a), bool)
             if least > 1:
                 keep[2:] = a[2:] != a[:-2]
@@ -189,7 +207,7 @@ def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.nd
                     n += len(a)
                 if n >= flush:
                     yield out()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield out()
 
@@ -202,7 +220,7 @@ def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.nd
         np.bitwise_or.at(bitmap, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([zlib.compress(bitmap.tobytes(), 1)], pa.binary())})
 
-    sent = df.mapInArrow(emit, "bucket int, payload binary")
+    sent = df.mapInArrow(tidy(emit), "bucket int, payload binary")
     rows = sent.groupBy("bucket").applyInArrow(reduce, "bucket int, bitmap binary").collect()  # 2**bits bits in all
     whole = np.zeros((1 << level, 1 << (bits - level - 3)), np.uint8)
     for r in rows:

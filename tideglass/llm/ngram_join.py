@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix64, random_table, repeat_filter, small_batches, steps, texts_of, word_hashes, written
+from .common import U, mix64, random_table, repeat_filter, small_batches, steps, texts_of, tidy, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -105,6 +105,7 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
 
         def out():
             u, m = np.concatenate(held), np.concatenate(least)
+            held.clear(), least.clear()
             order = np.lexsort((m, u))
             u, m = u[order], m[order]
             new = np.concatenate(([True], (u[1:] != u[:-1]) | (m[1:] != m[:-1])))
@@ -132,7 +133,7 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
                         n += p
                 if n >= flush:
                     yield out()
-                    held, least, n = [], [], 0
+                    n = 0
         if n:
             yield out()
 
@@ -147,7 +148,7 @@ def frequent_tokens(docs: DataFrame, flush: int = 2_000_000) -> np.ndarray:
         keep = (spread > SPREAD) & (2 * spread > sent)
         return pa.table({"token": pa.array(u[begin][keep].view(np.int64)), "spread": pa.array(spread[keep])})
 
-    sent = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, tokens binary, least binary")
+    sent = docs.select("doc_id", "text").mapInArrow(tidy(emit), "bucket int, tokens binary, least binary")
     found = written(sent.groupBy("bucket").applyInArrow(reduce, "token bigint, spread bigint"), "frequent")
     top = found.orderBy(F.desc("spread"), "token").limit(MAX_FREQUENT).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.view(U)) if len(top) else np.zeros(0, U)
@@ -197,7 +198,7 @@ def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                         rows.append((node, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["node", "tokens"])
 
-    sets = written(docs.select("doc_id", "text").mapInArrow(emit, "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = written(docs.select("doc_id", "text").mapInArrow(tidy(emit), "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
 
     def check(batches):
@@ -214,7 +215,7 @@ def _judge(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 linked.append(DENOMINATOR * common >= NUMERATOR * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(linked, pa.bool_()), *(pa.array(held, pa.list_(pa.int64())) for held in only)], ["a", "b", "shared", "linked", "only_a", "only_b"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, shared bigint, linked boolean, only_a array<bigint>, only_b array<bigint>")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a binary, b binary, shared bigint, linked boolean, only_a array<bigint>, only_b array<bigint>")
 
 
 def _ordered(a: str, b: str):
@@ -256,7 +257,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
                     whole.append(bool((at >= 0).all()) and len(at) == (prefix_length(len(s)) if len(s) else 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "common", "keys", "whole"])
 
-    return written(docs.mapInArrow(emit, "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, whole boolean"), "shingles")
+    return written(docs.mapInArrow(tidy(emit), "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, whole boolean"), "shingles")
 
 
 def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunking import cuts
-from .common import repeat_filter, small_batches, steps, texts_of, written
+from .common import repeat_filter, small_batches, steps, texts_of, tidy, written
 
 BITS, LEAST, MOST, LEAST_RUN = 5, 24, 512, 96
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -68,7 +68,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                     ["doc_id", "row_key", "begin", "end", "d1", "d2"],
                 )
 
-    chunks = written(docs.mapInArrow(emit, "doc_id bigint, row_key bigint, begin int, end int, d1 bigint, d2 bigint"), "chunks")
+    chunks = written(docs.mapInArrow(tidy(emit), "doc_id bigint, row_key bigint, begin int, end int, d1 bigint, d2 bigint"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "begin")
     first = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first != latest").select("d1", "d2", "first")
     return chunks.join(first, ["d1", "d2"]).where(place != F.col("first")).select("doc_id", "row_key", "begin", "end", F.col("first.doc_id").alias("first_id")).distinct()
@@ -105,7 +105,7 @@ def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, SPANS), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "spans", "first_ids"])
 
-    spans = runs.mapInArrow(merge, schema).where(F.size("spans") > 0)
+    spans = runs.mapInArrow(tidy(merge), schema).where(F.size("spans") > 0)
     rest = [c for c in docs.columns if c not in (*ADDED, "row_key")]
     keyed = _with_row_key(docs.select(*rest))
     # only the few rows that lose a passage need a join with the texts
@@ -122,7 +122,7 @@ def _with_row_key(docs: DataFrame) -> DataFrame:
 
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("row_key", T.LongType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _cut(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,4 +147,4 @@ def _cut(docs: DataFrame, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns_, pa.array(size, pa.int64()), pa.array(gone, pa.int64())], names)
 
     names = [*docs.columns, "n_bytes", "removed_bytes"]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_bytes", T.LongType())])).select(*columns, *ADDED)
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_bytes", T.LongType())])).select(*columns, *ADDED)
