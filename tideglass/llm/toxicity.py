@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, small_batches, tidy, written
 
 #: Bounds of the fit: labelled rows in the sample, and terms.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 512
@@ -60,7 +60,7 @@ class BlockMaxIndex:
                 rows.append(k - b * BLOCK)
                 ws.append(w)
         self.postings = {k: (np.array(r), np.array(w)) for k, (r, w) in self.postings.items()}
-        self.known: dict[tuple, tuple] = {}
+        self.known: dict[bytes, tuple] = {}
 
     def vector(self, terms: list[str]) -> dict[int, float]:
         """Unit vector of (1 + ln tf) * idf."""
@@ -92,7 +92,7 @@ class BlockMaxIndex:
 
     def score(self, terms: list[str]) -> tuple[float, list[int], list[float]]:
         """Score, ids and cosines of the evidence."""
-        key = tuple(sorted(terms or ()))
+        key = np.sort(np.array([self.at[t] for t in terms or () if t in self.at], np.uint16)).tobytes()
         if (hit := self.known.get(key)) is not None:
             return hit
         near = self.search(self.vector(terms))
@@ -102,7 +102,7 @@ class BlockMaxIndex:
             votes = [(1 / (1.05 - c), label) for c, _, label in near]  # weight by cosine distance
             total = sum(w for w, _ in votes)
             out = ((sum(w * y for w, y in votes) + self.rate) / (total + 1), [i for _, i, _ in near[:EVIDENCE]], [c for c, _, _ in near[:EVIDENCE]])
-        if len(self.known) < 100_000:
+        if len(self.known) < 20_000:
             self.known[key] = out
         return out
 
@@ -141,6 +141,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     and of several labels for an id the greatest counts.  Without labels of both kinds every score is
     the one rate there is (0 without labels).  Repeated rows and null ids each give a row; extra columns are not read.
     """
+    small_batches(docs)
     sample = _sample(docs, labels, max_examples)
     terms = choose_terms(sample)
     held = (crc_mod("doc_id", 3) == 1).alias("held_out")
@@ -162,4 +163,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
                 ["doc_id", "held_out", "score", "predicted", "terms", "neighbours", "cosines"],
             )
 
-    return table.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, terms array<string>, neighbours array<bigint>, cosines array<double>")
+    return table.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double, predicted int, terms array<string>, neighbours array<bigint>, cosines array<double>")
