@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 NONE = np.int32(2**31 - 1)
 #: Pieces longer than this merge on a heap: the same merges in the same order, without quadratic work.
@@ -41,7 +41,6 @@ class Codec:
         self.width = np.uint64(max(ranks.values()) + 1)
         keys = np.array([a * int(self.width) + b for a, b in pairs], np.uint64)
         values = np.array(list(pairs.values()), np.int32)
-        self.pair_rank = pairs
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, 2**64 - 1, np.uint64), np.full(1 << bits, NONE)
@@ -116,9 +115,9 @@ class Codec:
     def _heap(self, piece: bytes) -> bytes:
         """The same merges for one long piece: leftmost pair of least rank first."""
         ids = self.singles[np.frombuffer(piece, np.uint8)].tolist()
-        n, get = len(ids), self.pair_rank.get
+        n, pieces, get = len(ids), self.pieces, self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(pieces[ids[i]] + pieces[ids[i + 1]])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -129,9 +128,9 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := get((r, ids[k]))) is not None:
+                if (s := get(pieces[r] + pieces[ids[k]])) is not None:
                     heapq.heappush(heap, (s, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (s := get((ids[h], r))) is not None:
+            if (h := before[i]) >= 0 and (s := get(pieces[ids[h]] + pieces[r])) is not None:
                 heapq.heappush(heap, (s, h, ids[h], r))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
@@ -197,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -209,4 +208,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [c.decode(np.asarray(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, text string")
