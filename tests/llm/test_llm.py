@@ -203,6 +203,20 @@ def test_ngram_join_at_the_threshold(spark, monkeypatch, spread):
     assert got == link_truth(rs)
 
 
+def test_ngram_join_of_two_families_with_a_bridge(spark):
+    """Bridges just above the threshold, whose keys lie at hubs of both families: each half alone is under the bound."""
+    rs = []
+    for seed in (6, 13, 14, 16, 20, 25):
+        rng = random.Random(seed)
+        w, before, after = words(rng, 90, 10**6), words(rng, 14, 10**6), words(rng, 14, 10**6)
+        a, b = [*w[11:], after[0]], [before[-1], *w[:-11]]
+        for t in (before + w, w + after, a, [*a, "a1"], [*a, "a2"], [*a, "a3"], b, ["b1", *b], ["b2", *b], ["b3", *b]):
+            rs.append((len(rs), " ".join(t)))
+    want = link_truth(rs)
+    assert {c for _, _, c in want} == set(range(0, len(rs), 10))
+    assert collections.Counter(tuple(r) for r in ngram_join.link_documents(spark.createDataFrame(rs, "doc_id long, text string")).collect()) == want
+
+
 def test_prefix_keys_meet():
     """Sets at the threshold always share a key, whichever tokens are frequent."""
     rng = np.random.default_rng(3)

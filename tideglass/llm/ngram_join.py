@@ -261,7 +261,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
 
 
 def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a key, a row for each hub of such keys with the number of keys shared there.
+    """Pairs of nodes (the lesser first) of different components that share a key, a row for each hub of such keys with the number of keys shared there.
 
     open_ has key, node, n, common, after, whole, component, hub.  All keys that two nodes share are in it, and each key has one
     hub, so at another hub a pair shares at most what either node has there.  A pair that is left out at some hub for
@@ -293,7 +293,10 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     # both as differences from the hub's set, that is exact
     exact = F.col("in_x") + F.size("missing_x") - F.size(F.array_union("missing_x", "missing_y")) + F.size(F.array_intersect("extra_x", "extra_y"))
     met = met.where(F.col("in_x").isNull() | F.col("in_y").isNull() | ((DENOMINATOR + NUMERATOR) * exact >= NUMERATOR * (F.col("n_x") + F.col("n_y"))))
-    return met.select("node_x", "node_y", "n_x", "n_y", "after_x", "after_y", "w_x", "w_y", shared.cast("bigint").alias("shared"))
+    # which node is x differs by hub: one order for all hubs, so that a pair's rows can be added up
+    in_order = F.col("node_x") < F.col("node_y")
+    ordered = (F.when(in_order, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{s}") for c in ("node", "n", "after", "w") for s, o in ("xy", "yx"))
+    return met.select(*ordered, shared.cast("bigint").alias("shared"))
 
 
 def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
