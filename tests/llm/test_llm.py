@@ -431,6 +431,28 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, labels).count() == 0
 
 
+def test_toxicity_by_likeness(spark):
+    """Copies of toxic examples whose words are in no other text are found by their whole texts."""
+    rng = random.Random(12)
+    rs = [(i, " ".join(words(rng, 60, 3000))) for i in range(300)]
+    toxic = [i for i in range(300) if i % 20 == 0 and zlib.crc32(str(i).encode()) % 3 != 1]
+    for k, i in enumerate(toxic):
+        rs[i] = (i, " ".join(f"own{k}x{j}" for j in range(30)))
+        rs.append((1000 + k, rs[i][1] + " and a few words more"))
+    labels = spark.createDataFrame([(i, 0, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(spark.createDataFrame(rs, "doc_id long, text string"), labels).collect()}
+    assert all(got[1000 + k].predicted == 1 and got[1000 + k].neighbours[0] == i for k, i in enumerate(toxic))
+    assert not any(got[i].predicted for i in range(300) if i not in toxic)
+    terms = [f"t{i}" for i in range(2000)]
+    examples = [(i, i % 2, rng.choices(terms, k=20) + rng.choices(terms[:10], k=5)) for i in range(500)]
+    index = toxicity.BlockMaxIndex(examples, {t: rng.uniform(1, 5) for t in terms})
+    assert 0 < len(index.head) < len(terms)
+    for _ in range(20):
+        v = index.vector(rng.choices(terms, k=20) + rng.choices(terms[:10], k=5))
+        every = sorted((-round(sum(w * u.get(t, 0) for t, w in v.items()), 9), i) for i, _, x in examples for u in [index.vector(x)])
+        assert [(-c, i) for c, i, _ in index.search(v, 10)] == every[:10]
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(3)
     terms = [f"t{i}" for i in range(40)]

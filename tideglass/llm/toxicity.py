@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms that mark the label are chosen from a bounded sample of labelled rows; their document
-frequencies are counted over all documents.  The sample's vectors form an inverted index in blocks
-with the greatest weight of each term in each block, so a search reads blocks in order of their upper
-bound and stops, with exact results, when no block can beat the neighbours found.  Distance-weighted
-votes of the neighbours give the score, and the neighbours are the evidence.
+A bounded sample of labelled rows gives the examples, each with all its terms; a term's weight is its IDF over all
+documents, raised where it is more frequent among examples labelled 1 than chance allows.  Whole texts are
+searched against the sample's vectors, exactly.
+Distance-weighted votes of the neighbours give the score, and the neighbours are the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches, tidy, written
 
-#: Bounds of the fit: labelled rows in the sample, and terms.
+#: Bounds of the fit: labelled rows in the sample, and terms shown as marks of label 1.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 512
-#: Likelihood ratio (2 ln) against chance that a term must reach: by chance, under one in 10**10 terms does.
+#: Likelihood ratio (2 ln) against chance that a mark must reach, and that doubles the weight of a term: by chance, under one in 10**10 terms does.
 LEAST_RATIO = 45.0
-NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 5
+NEIGHBOURS, EVIDENCE = 25, 5
+#: So many terms at most are kept as dense columns: those in over one of HEAD_SHARE examples.
+HEAD, HEAD_SHARE = 256, 50
+#: Queries that are multiplied with the head at once.
+BATCH = 64
 THRESHOLD = 0.7
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
@@ -32,34 +37,50 @@ def _terms(text: str = "text"):
     return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_TERM)
 
 
+def _hashes(terms):
+    return F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.xxhash64(t))
+
+
 class BlockMaxIndex:
-    """Vectors of labelled examples; `weights` are the terms' IDFs."""
+    """Whole vectors of labelled examples; `weights` are the terms' weights.
+
+    The terms in the most examples (the head) are a dense matrix, multiplied with a batch of queries at once; the others
+    have postings.  Every example's cosine is computed, so results are exact.
+    """
 
-    def __init__(self, examples: list[tuple[int, int, list[str]]], weights: dict[str, float]):
+    def __init__(self, examples: Iterable[tuple[int, int, list[str]]], weights: dict[str, float]):
         self.at = {t: i for i, t in enumerate(weights)}
         self.idf = np.array(list(weights.values()), np.float64)
-        empty, vectors = [], []
+        empty, labels, ids, terms_, ws = [], [], [], [], []
         for doc_id, label, terms in examples:
-            v = self.vector(terms)
-            (vectors.append((doc_id, label, v)) if v else empty.append(label))
-        labels = [label for _, label, _ in examples]
-        self.rate = sum(labels) / len(labels) if labels else 0.0
+            if v := self.vector(terms):
+                ids.append(doc_id)
+                labels.append(label)
+                terms_.append(np.fromiter(v, np.int32, len(v)))
+                ws.append(np.fromiter(v.values(), np.float64, len(v)))
+            else:
+                empty.append(label)
+        every = [*labels, *empty]
+        self.rate = sum(every) / len(every) if every else 0.0
         #: of examples without any term: the score of texts without any
         self.empty_rate = sum(empty) / len(empty) if empty else self.rate
-        vectors.sort(key=lambda x: (sorted(x[2]), x[0]))  # examples with the same terms share blocks
-        self.ids = np.array([x[0] for x in vectors], np.int64)
-        self.labels = np.array([x[1] for x in vectors], np.float64)
-        blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(self.at), blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for k, (_, _, v) in enumerate(vectors):
-            for t, w in v.items():
-                b = k // BLOCK
-                self.most[t, b] = max(self.most[t, b], w)
-                rows, ws = self.postings.setdefault((t, b), ([], []))
-                rows.append(k - b * BLOCK)
-                ws.append(w)
-        self.postings = {k: (np.array(r), np.array(w)) for k, (r, w) in self.postings.items()}
+        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
+        n, size = len(ids), len(self.at)
+        term = np.concatenate([np.zeros(0, np.int32), *terms_])
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in terms_])
+        w = np.concatenate([np.zeros(0), *ws])
+        many = np.bincount(term, minlength=size)
+        head = np.argsort(-many, kind="stable")[:HEAD]
+        head = head[many[head] * HEAD_SHARE > n]
+        self.head_at = np.full(size, -1, np.int32)
+        self.head_at[head] = np.arange(len(head))
+        self.head = np.zeros((len(head), n))
+        place = self.head_at[term]
+        inside = place >= 0
+        self.head[place[inside], row[inside]] = w[inside]
+        order = np.argsort(term[~inside], kind="stable")
+        self.rows, self.ws = row[~inside][order], w[~inside][order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term[~inside], minlength=size))))
         self.known: dict[bytes, tuple] = {}
 
     def vector(self, terms: list[str]) -> dict[int, float]:
@@ -69,43 +90,62 @@ class BlockMaxIndex:
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()} if norm else {}
 
-    def search(self, v: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int, float]]:
+    def search(self, v: dict, k: int = NEIGHBOURS) -> list[tuple[float, int, float]]:
         """The k nearest examples with positive cosine as (cosine, doc_id, label), exactly; ties go to the smaller id."""
-        if not v or not len(self.ids):
-            return []
-        terms = np.array(list(v))
-        query = np.array(list(v.values()))
-        bound = query @ self.most[terms]
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in v.items():
-                if (p := self.postings.get((t, b))) is not None:
-                    scores[p[0]] += w * p[1]
-            rows = np.flatnonzero(scores > 0)
-            best += [(round(float(scores[r]), 9), int(self.ids[b * BLOCK + r]), float(self.labels[b * BLOCK + r])) for r in rows.tolist()]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
-
-    def score(self, terms: list[str]) -> tuple[float, list[int], list[float]]:
-        """Score, ids and cosines of the evidence."""
-        key = np.sort(np.array([self.at[t] for t in terms or () if t in self.at], np.uint16)).tobytes()
-        if (hit := self.known.get(key)) is not None:
-            return hit
-        near = self.search(self.vector(terms))
-        if not near:
-            out = (self.empty_rate, [], [])
-        else:
-            votes = [(1 / (1.05 - c), label) for c, _, label in near]  # weight by cosine distance
-            total = sum(w for w, _ in votes)
-            out = ((sum(w * y for w, y in votes) + self.rate) / (total + 1), [i for _, i, _ in near[:EVIDENCE]], [c for c, _, _ in near[:EVIDENCE]])
-        if len(self.known) < 20_000:
-            self.known[key] = out
+        return self.search_all([v], k)[0]
+
+    def search_all(self, vectors: list[dict], k: int = NEIGHBOURS) -> list[list[tuple[float, int, float]]]:
+        """search of each vector."""
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in vectors]
+        heads, tails = np.zeros((len(vectors), len(self.head))), []
+        for i, v in enumerate(vectors):
+            terms, query = np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.float64, len(v))
+            place = self.head_at[terms]
+            inside = place >= 0
+            heads[i, place[inside]] = query[inside]
+            terms, query = terms[~inside], query[~inside]
+            begin, end = self.start[terms], self.start[terms + 1]
+            some = end > begin
+            tails.append((begin[some].tolist(), end[some].tolist(), query[some]))
+        out = []
+        for row, (begin, end, query) in zip(heads @ self.head, tails, strict=True):
+            if begin:
+                rows = np.concatenate([self.rows[i:j] for i, j in zip(begin, end, strict=True)])
+                ws = np.concatenate([self.ws[i:j] for i, j in zip(begin, end, strict=True)])
+                row += np.bincount(rows, ws * np.repeat(query, np.subtract(end, begin)), n)
+            near = np.flatnonzero(row >= np.partition(row, n - k)[n - k] - 2e-9) if n > k else np.arange(n)
+            near = near[row[near] > 0]
+            found = np.round(row[near], 9)
+            best = np.lexsort((self.ids[near], -found))[:k]
+            out.append([(float(found[i]), int(self.ids[near[i]]), float(self.labels[near[i]])) for i in best.tolist() if found[i] > 0])
         return out
 
+    def scores(self, texts: list[list]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, ids and cosines of the evidence of each text's terms."""
+        keys, vectors, found = [], [], {}
+        for terms in texts:
+            key = hashlib.blake2b(np.sort(np.array([self.at[t] for t in terms or () if t in self.at], np.int32)).tobytes(), digest_size=16).digest()
+            keys.append(key)
+            if (hit := self.known.get(key)) is not None:
+                found[key] = hit
+            elif key not in found:
+                found[key] = None
+                vectors.append((key, self.vector(terms)))
+        for i in range(0, len(vectors), BATCH):
+            part = vectors[i : i + BATCH]
+            for (key, _), near in zip(part, self.search_all([v for _, v in part]), strict=True):
+                out = (self.empty_rate, [], [])
+                if near:
+                    votes = [(1 / (1.05 - c) ** 2, label) for c, _, label in near]  # weight by cosine distance: a near copy of an example outweighs the rest
+                    total = sum(w for w, _ in votes)
+                    out = ((sum(w * y for w, y in votes) + self.rate) / (total + 1), [i for _, i, _ in near[:EVIDENCE]], [c for c, _, _ in near[:EVIDENCE]])
+                found[key] = out
+                if len(self.known) < 20_000:
+                    self.known[key] = out
+        return [found[k] for k in keys]
+
 
 def _sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
     """doc_id, toxic, text of the labelled rows of least hash outside the held-out third; one for each group of near copies that shares its least shingle."""
@@ -114,53 +154,56 @@ def _sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id")  # at most max_examples small rows
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 3)))
     texts = texts.withColumn("words", F.split(F.coalesce("text", F.lit("")), " ")).withColumn("least", F.array_min(shingles))
-    one = texts.select("doc_id", "toxic", "least", F.array_distinct(_terms()).alias("seen")).groupBy("least", "toxic").agg(F.min_by("seen", "doc_id").alias("seen"), F.min("doc_id").alias("doc_id"))
-    return written(one, "toxicity-sample")
+    one = texts.groupBy("least", "toxic").agg(F.min(F.struct("doc_id", _terms().alias("terms"))).alias("first")).select("toxic", "first.*")
+    return written(one.withColumn("seen", F.array_distinct("terms")), "toxicity-sample")
 
 
-def choose_terms(sample: DataFrame) -> list[str]:
-    """Terms that are more frequent among examples labelled 1 than chance allows, strongest first."""
+def term_ratios(sample: DataFrame) -> DataFrame:
+    """term, ratio of all terms of the sample; ratio says how much more frequent among examples labelled 1 it is than chance allows (0: not at all)."""
     seen = sample.select("toxic", F.explode("seen").alias("term")).where("term != ''")
     n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("n0")).first()
+    counts = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("m"))
     if not n.n1 or not n.n0:
-        return []
+        return counts.where("false").select("term", F.lit(0.0).alias("ratio"))
     share = n.n1 / (n.n1 + n.n0)
-    counts = seen.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("m"))
     a, m = F.col("a"), F.col("m")
     rest = F.when(m > a, (m - a) * F.log((m - a) / (m * (1 - share)))).otherwise(0.0)
-    counts = counts.where(a > m * share).withColumn("ratio", 2 * (a * F.log(a / (m * share)) + rest))
-    return [r.term for r in counts.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
+    return counts.select("term", F.when(a > m * share, 2 * (a * F.log(a / (m * share)) + rest)).otherwise(0.0).alias("ratio"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, terms, neighbours, cosines.
 
-    score is the distance-weighted share of label 1 among the nearest examples; a text without any
-    marking term (an empty or null one, too) scores the share among examples without any.  Labels come
+    score is the distance-weighted share of label 1 among the nearest examples by cosine of the whole texts; a text
+    that shares no term with any (an empty or null one, too) scores the share among examples without any.  terms are the
+    text's words that mark label 1 by themselves; the search does not depend on them.  Labels come
     only from labelled rows outside the held-out third; null labels and ids are not learned from,
     and of several labels for an id the greatest counts.  Without labels of both kinds every score is
     the one rate there is (0 without labels).  Repeated rows and null ids each give a row; extra columns are not read.
     """
     small_batches(docs)
     sample = _sample(docs, labels, max_examples)
-    terms = choose_terms(sample)
-    held = (crc_mod("doc_id", 3) == 1).alias("held_out")
-    found = F.filter(_terms(), lambda w: w.isin(*terms)) if terms else F.array().cast("array<string>")
-    table = written(docs.select("doc_id", held, found.alias("terms")), "toxicity")
-    df = table.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    df = {r.term: r["count"] for r in df.collect()}  # at most MAX_TERMS rows
-    n = table.count()
-    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in terms}
-    rows = sample.select("doc_id", "toxic").join(table.where(F.col("doc_id").isNotNull()), "doc_id").select("doc_id", "toxic", "terms").dropDuplicates(["doc_id"]).collect()  # at most max_examples rows
-    index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex(sorted((r.doc_id, r.toxic, r.terms) for r in rows), idf))
+    ratios = written(term_ratios(sample), "toxicity-terms")
+    marks = [r.term for r in ratios.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).select("term").collect()]
+    n = docs.count()
+    df = docs.select(F.explode(F.array_distinct(_terms())).alias("term")).groupBy("term").count()
+    weight = (F.log((1 + n) / (1 + F.col("count"))) + 1) * (1 + F.col("ratio") / LEAST_RATIO)
+    # the terms of at most max_examples texts, as hashes
+    rows = df.join(ratios, "term").select(F.xxhash64("term").alias("term"), weight.alias("weight")).orderBy("term").toArrow()
+    examples = sample.select("doc_id", "toxic", _hashes("terms").alias("terms")).orderBy("doc_id").toArrow()  # at most max_examples rows
+    index = BlockMaxIndex((tuple(r.values()) for batch in examples.to_batches(1000) for r in batch.to_pylist()), dict(zip(rows["term"].to_pylist(), rows["weight"].to_pylist(), strict=True)))
+    del rows, examples
+    fit = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for batch in batches:
-            out = [index.value.score(t) for t in batch.column(2).to_pylist()]
+            out = fit.value.scores(batch.column(3).to_pylist())
             score = np.array([s for s, _, _ in out], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), batch.column(2), pa.array([i for _, i, _ in out], pa.list_(pa.int64())), pa.array([c for _, _, c in out], pa.list_(pa.float64()))],
                 ["doc_id", "held_out", "score", "predicted", "terms", "neighbours", "cosines"],
             )
 
+    found = F.filter(_terms(), lambda w: w.isin(*marks)) if marks else F.array().cast("array<string>")
+    table = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), found.alias("terms"), _hashes(_terms()).alias("hashes"))
     return table.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double, predicted int, terms array<string>, neighbours array<bigint>, cosines array<double>")
