@@ -129,6 +129,31 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_expand_keeps_null_ids_and_repeated_rows(spark, docs):
+    """Each row comes as often as its share of the mix, whatever its id."""
+    again = docs.unionByName(spark.createDataFrame([rows()[7]] * 30 + [(None, "some words without an id", "en", "s0", 1, 1, "k")] * 5, SCHEMA))
+    mixed = mixing.mix(again)
+    got = collections.Counter((r.doc_id, r.source, r.text) for r in mixing.expand(again, mixed).collect())
+    tie = {r.text: r.tie for r in again.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    want = collections.Counter()
+    for r in mixed.collect():
+        want[r.doc_id, r.source, r.tie] += r.copies
+    assert {(i, s, tie[t]): n for (i, s, t), n in got.items()} == {k: n for k, n in want.items() if n}
+    assert any(i is None for i, _, _ in got) and mixing.expand(again, mixed).columns == again.columns
+
+
+def test_pipeline_takes_null_ids_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rs = [(i, f"own words {i} " + " ".join(words(random.Random(i), 40, 10**6)), "en", "s", 1) for i in (1, 2, 3, 3, 3, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    out = collections.Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rs, schema), "").collect())
+    copies = collections.Counter()
+    for r in mixing.mix(spark.createDataFrame(rs, schema)).collect():
+        copies[r.doc_id] += r.copies
+    assert out == copies and out[None] > 0 and out[3] <= 6
+
+
 def test_quality(docs, none):
     def base(text):
         w = WORD.findall(text or "")

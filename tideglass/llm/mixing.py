@@ -44,7 +44,7 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+    """Per row of docs: doc_id, source, size, tie (text digest), source_size, target, copies, taken (= copies * size).
 
     size is the number of words (null or empty text: 0).  Sources in code-point order, null last,
     weigh `weights` in turn and share `share` times all words; no target is above `most` times its
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = d.join(p, (F.col("d.range") == F.col("p.range")) & F.col("d.source").eqNullSafe(F.col("p.source"))).select(
         "doc_id", F.col("d.source").alias("source"), "size", "key", "tie", F.col("d.range").alias("range"), "before", "source_size", "target", "epochs", "budget", "side"
     )
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    out = ["doc_id", "source", "size", "tie", "source_size", "target"]
     whole = rows.where("side >= 0").select(*out, (F.col("epochs") + F.col("side")).alias("copies"))
     order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("size").over(order)
@@ -84,9 +84,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as `mixed` (of the same docs) says; ids must be unique and not null."""
-    m = mixed.where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
-    return docs.join(m, F.col("doc_id") == F.col("mixed_id")).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch")).select(*docs.columns)
+    """docs with each row repeated as often as `mixed` (of the same docs) says, null ids and repeated rows too.
+
+    Rows alike in id, source and text share the copies of all of them evenly; the first ones (in order of the other
+    columns) have what is left over, as only rows at a source's cut have.
+    """
+    key = ["doc_id", "source", "tie"]
+    m = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
+    m = m.select(*(F.col(c).alias(f"mixed_{c}") for c in key), F.floor(F.col("copies") / F.col("alike")).alias("mixed_each"), (F.col("copies") % F.col("alike")).alias("mixed_rest"))
+    m = written(m, "mix-copies")
+    d = docs.withColumn("mixed_own", F.xxhash64("text"))
+    joined = d.join(m, F.col("doc_id").eqNullSafe(F.col("mixed_doc_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (F.col("mixed_own") == F.col("mixed_tie")))
+    even = joined.where("mixed_rest = 0").select(*docs.columns, F.col("mixed_each").alias("mixed_copies"))
+    # one group for each source at most
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", "mixed_own").orderBy(*docs.columns))
+    uneven = joined.where("mixed_rest > 0").select(*docs.columns, (F.col("mixed_each") + (number <= F.col("mixed_rest")).cast("int")).alias("mixed_copies"))
+    out = even.unionByName(uneven).where("mixed_copies > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))).alias("mixed_epoch")).select(*docs.columns)
 
 
 def oracle_sql(relation: str = "documents", seed: int = 0) -> str:
