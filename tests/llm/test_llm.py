@@ -180,6 +180,21 @@ def test_quality_finds_odd_histograms(spark):
     assert not kept.pop(99) and all(kept.values())
 
 
+def test_quality_finds_texts_without_common_words(spark):
+    """Word salad, texts in another language and texts made of one common word fail; characters alone look normal."""
+    rng = random.Random(7)
+
+    def text(lang, n=300):
+        return " ".join(rng.choice(quality.COMMON_WORDS[lang]) if rng.random() < 0.22 else "".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 9))) for _ in range(n))
+
+    clean = [(i, text("en", rng.choice([60, 100, 300])), "en") for i in range(40)] + [(50 + i, text("de"), "de") for i in range(10)]
+    salad = "".join(c if c == " " else rng.choice("etaoinshrdlu") for c in text("en"))
+    odd = [(90, salad, "en"), (91, text("de"), "en"), (92, " ".join("by" if rng.random() < 0.22 else "".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(300)), "en")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([*clean, *odd], "doc_id long, text string, lang string")).collect()}
+    assert all(r.class_distance is None or r.class_distance <= quality.MOST_CLASS_DISTANCE for r in got.values())
+    assert [i for i in got if not got[i].kept and not got[i].base_failed] and {i for i in got if not got[i].kept} == {90, 91, 92}
+
+
 def link_truth(rs):
     sets = []
     for r in rs:

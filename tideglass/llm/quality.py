@@ -2,7 +2,8 @@
 
 Each text gives a histogram of character classes and one of common words.  Both are compared by
 Jensen-Shannon distance with the reference of the text's language, which is the sum of the histograms of
-all documents of that language; texts too short for a stable histogram are not judged by it.
+all documents of that language; texts too short for a stable histogram are not judged by it.  Common words are
+compared among themselves, and a text with far fewer of them than its language has fails.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ COMMON_WORDS = {
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]")
 LEAST_CHARS, LEAST_WORDS = 200, 50
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.2, 0.75
+#: Common words are compared among themselves from so many on; their share of all words must be over so much of the language's share.
+LEAST_COMMON, LEAST_COMMON_SHARE = 20, 0.25
 WINDOW, MOST_REPEATED_PERCENT, LEAST_TOTAL_WORDS = 5, 20, 10
 
 
@@ -85,7 +88,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, the counts, base_failed, class_distance, word_distance, kept.
 
     Null and empty texts have no words and fail.  A null or unknown language is compared with all
-    documents.  Distances are null under the minimum lengths and then do not count against a text.
+    documents.  Distances are null under the minimum lengths and then do not count against a text.  word_distance is of
+    the common words among themselves.
     Repeated rows and null ids each give a row; an empty table gives an empty result; extra columns
     are not read.
     """
@@ -95,27 +99,40 @@ def judge(docs: DataFrame) -> DataFrame:
     # one row for each language of COMMON_WORDS and one for the others: a fixed number of rows and columns
     rows = {r["lang"]: r for r in counts.groupBy("lang").agg(*sums).limit(len(COMMON_WORDS) + 1).collect()}
 
-    def reference(prefix: str, n: int) -> Column:
-        def of(lang: str) -> Column:
-            use = [rows[lang]] if lang else list(rows.values())
-            v = [float(sum(r[f"{prefix}{i}"] or 0 for r in use)) for i in range(n)]
-            return F.array(*(F.lit(x / (sum(v) or 1.0)) for x in v))
+    def sums_of(lang: str, prefix: str, n: int) -> list[float]:
+        use = [rows[lang]] if lang else list(rows.values())
+        return [float(sum(r[f"{prefix}{i}"] or 0 for r in use)) for i in range(n)]
 
+    def by_language(of) -> Column:
         out = of("")
         for lang in rows:
             if lang:
                 out = F.when(F.col("lang") == lang, of(lang)).otherwise(out)
         return out
 
+    def reference(prefix: str, n: int) -> Column:
+        def of(lang: str) -> Column:
+            v = sums_of(lang, prefix, n)
+            return F.array(*(F.lit(x / (sum(v) or 1.0)) for x in v))
+
+        return by_language(of)
+
+    def common_share(lang: str) -> Column:
+        v = sums_of(lang, "w", size)
+        return F.lit(sum(v[:-1]) / (sum(v) or 1.0))
+
     def share(name: str) -> Column:
         total = F.aggregate(name, F.lit(0).cast("bigint"), lambda s, x: s + x)
         return F.transform(name, lambda x: x / F.greatest(total, F.lit(1)).cast("double"))
 
     d = counts.withColumn("class_distance", F.when(F.col("n_chars") >= LEAST_CHARS, _distance(share("classes"), reference("c", len(CLASSES) + 1))))
     # common words are compared only for languages that have a list
-    d = d.withColumn("word_distance", F.when((F.col("n_words") >= LEAST_WORDS) & (F.col("lang") != ""), _distance(share("words"), reference("w", size))))
+    long = (F.col("n_words") >= LEAST_WORDS) & (F.col("lang") != "")
+    d = d.withColumn("common", F.slice("words", 1, size - 1)).withColumn("n_common", F.col("n_words") - F.element_at("words", -1))
+    d = d.withColumn("word_distance", F.when(long & (F.col("n_common") >= LEAST_COMMON), _distance(share("common"), reference("w", size - 1))))
+    few = long & (F.col("n_common") < LEAST_COMMON_SHARE * F.col("n_words") * by_language(common_share))
     failed = (F.col("n_words") < LEAST_TOTAL_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    odd = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
+    odd = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE) | few
     return d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"),
         F.round("class_distance", 9).alias("class_distance"), F.round("word_distance", 9).alias("word_distance"),
