@@ -483,31 +483,131 @@ def test_toxicity_by_likeness(spark):
     got = {r.doc_id: r for r in toxicity.score_documents(spark.createDataFrame(rs, "doc_id long, text string"), labels).collect()}
     assert all(got[1000 + k].predicted == 1 and got[1000 + k].neighbours[0] == i for k, i in enumerate(toxic))
     assert not any(got[i].predicted for i in range(300) if i not in toxic)
-    terms = [f"t{i}" for i in range(2000)]
-    examples = [(i, i % 2, rng.choices(terms, k=20) + rng.choices(terms[:10], k=5)) for i in range(500)]
-    index = toxicity.BlockMaxIndex(examples, {t: rng.uniform(1, 5) for t in terms})
-    assert 0 < len(index.head) < len(terms)
-    for _ in range(20):
-        v = index.vector(rng.choices(terms, k=20) + rng.choices(terms[:10], k=5))
-        every = sorted((-round(sum(w * u.get(t, 0) for t, w in v.items()), 9), i) for i, _, x in examples for u in [index.vector(x)])
-        assert [(-c, i) for c, i, _ in index.search(v, 10)] == every[:10]
+
+
+def toxicity_truth(rs, ls, step=toxicity.RATIO_STEP, least=toxicity.LEAST_RATIO, k=toxicity.NEIGHBOURS):
+    """Score and neighbours of each row from dictionaries: every cosine, votes, and the curve by bisection of its gradient."""
+    import regex
+
+    terms = lambda t: collections.Counter(regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()))
+    learn = {}
+    for i, y in ls:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            learn[i] = max(y, learn.get(i, 0))
+    merged = {}
+    for i, t in sorted((r for r in rs if r[0] in learn), key=lambda r: (r[0], r[1] or "")):
+        merged.setdefault(frozenset(terms(t).items()), []).append(i)
+    examples = [(ids[0], dict(v), sum(learn[i] for i in ids) / len(ids)) for v, ids in merged.items()]
+    df = collections.Counter(w for _, t in rs for w in terms(t))
+    n1, n = sum(y for _, _, y in examples), len(examples)
+    seen, bad = collections.Counter(w for _, v, _ in examples for w in v), collections.Counter()
+    for _, v, y in examples:
+        for w in v:
+            bad[w] += y
+
+    def ratio(w):
+        m, a = seen[w], bad[w]
+        if not 0 < n1 < n or a <= m * n1 / n:
+            return 0.0
+        return 2 * (a * math.log(a / (m * n1 / n)) + ((m - a) * math.log((m - a) / (m * (1 - n1 / n))) if m > a else 0))
+
+    weight = {w: (math.log((1 + len(rs)) / (1 + df[w])) + 1) * (1 + max(0, ratio(w) - least) / step) for w in seen}
+
+    def unit(v):
+        u = {w: (1 + math.log(c)) * weight.get(w, math.log((1 + len(rs)) / 2) + 1) for w, c in v.items()}
+        norm = math.sqrt(sum(x * x for x in u.values()))
+        return {w: x / norm for w, x in u.items()}
+
+    units = [(i, unit(v), y) for i, v, y in examples]
+    rate = n1 / n
+    empty = [y for _, v, y in examples if not v]
+    empty_rate = sum(empty) / len(empty) if empty else rate
+
+    def near(u, skip=None):
+        every = sorted((-round(sum(x * e[w] for w, x in u.items() if w in e), 9), i, y) for i, e, y in units if i != skip)
+        return [(-c, i, y) for c, i, y in every if c < 0][:k]
+
+    def share(found):
+        w = [1 / (1.05 - min(c, 1)) ** 2 for c, _, _ in found]
+        return (sum(a * y for a, (_, _, y) in zip(w, found, strict=True)) + rate) / (sum(w) + 1) if found else empty_rate
+
+    odds = lambda p: math.log(min(max(p, 1e-3), 1 - 1e-3) / (1 - min(max(p, 1e-3), 1 - 1e-3)))
+    points = np.array([(odds(share(near(u, i))), y) for i, u, y in units if u])
+
+    def loss(a, b):
+        z = a * points[:, 0] + b
+        return (np.logaddexp(0, z) - points[:, 1] * z).sum() + ((a - 1) ** 2 + b * b) / 2
+
+    a, b, size = 1.0, 0.0, 1.0
+    while size > 1e-9:  # pattern search of a convex loss
+        here = loss(a, b)
+        better = min(((loss(x, y), x, y) for x in (a - size, a, a + size) for y in (b - size, b, b + size)), key=lambda p: p[0])
+        if better[0] < here:
+            _, a, b = better
+        else:
+            size /= 2
+    out = []
+    for i, t in rs:
+        found = near(unit(terms(t)))
+        s = share(found)
+        out.append((i, 1 / (1 + math.exp(-(max(a, 0) * odds(s) + b))) if found else s, [j for _, j, _ in found[:5]]))
+    return out
+
+
+def test_toxicity_is_the_search_of_all_examples(spark):
+    rng = random.Random(21)
+    rs = []
+    for i in range(160):
+        w = words(rng, rng.choice([2, 15, 60]), 300)
+        if i % 6 == 0:
+            w += rng.choices(["vile", "nasty", "awful"], k=2)
+        rs.append((i, " ".join(w)))
+    rs += [(200, rs[5][1]), (201, rs[5][1]), (202, ""), (203, None), (204, "?!"), (5, rs[5][1] + " more"), (205, "unheard words only"), (None, "vile"), (206, " ".join(words(rng, 4000, 900)))]
+    ls = [(r[0], int(r[0] % 6 == 0)) for r in rs if r[0] is not None and r[0] not in (200,)] + [(201, 1), (5, 1), (None, 1), (7, None)]
+    labels = spark.createDataFrame([(i, 0, y) for i, y in ls], "doc_id long, quality int, toxic int")
+    got = toxicity.score_documents(spark.createDataFrame(rs, "doc_id long, text string").repartition(3), labels).collect()
+    want = toxicity_truth(rs, ls)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    pairs = list(zip(sorted(((r.doc_id, round(r.score, 6), r.neighbours) for r in got), key=key), sorted(((i, round(s, 6), n) for i, s, n in want), key=key), strict=True))
+    assert all(a[0] == b[0] and a[2] == b[2] for a, b in pairs)
+    assert [a[1] for a, _ in pairs] == pytest.approx([b[1] for _, b in pairs], abs=2e-6)
+
+
+def test_toxicity_bounds_of_the_fit(spark):
+    """Rows beyond the documented bounds are not learned from; those within are the ones of least hash, in any order of rows."""
+    rs = [(i, f"a{i} b{i} c{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 7 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    m, _ = toxicity.fit(docs, labels, max_examples=50)
+    again, _ = toxicity.fit(docs.repartition(7), labels, max_examples=50)
+    assert len(m.index.ids) == 50 and np.array_equal(m.index.ids, again.index.ids)
+    m, _ = toxicity.fit(docs, labels, max_postings=30)
+    assert len(m.index.ids) == 10
 
 
 def test_block_max_search_is_exact():
-    rng = random.Random(3)
-    terms = [f"t{i}" for i in range(40)]
-    idf = {t: rng.uniform(1, 5) for t in terms}
-    examples = [(i, rng.randrange(2), rng.choices(terms, k=rng.randint(0, 6))) for i in range(900)]
-    index = toxicity.BlockMaxIndex(examples, idf)
-    for _ in range(60):
-        v = index.vector(rng.choices(terms, k=rng.randint(1, 5)))
-        every = []
-        for i, label, ts in examples:
-            u = index.vector(ts)
-            if (c := round(sum(w * u.get(t, 0) for t, w in v.items()), 9)) > 0:
-                every.append((c, i, float(label)))
-        every.sort(key=lambda x: (-x[0], x[1]))
-        assert index.search(v, 10) == every[:10]
+    """Against all cosines, with frequent and rare terms, ties, queries without terms, and fewer examples than a block."""
+    rng = np.random.default_rng(3)
+    for n, terms in ((1, 5), (40, 30), (900, 40), (700, 3000)):
+        dense = np.zeros((n, terms))
+        for i in range(n):
+            at = np.concatenate((rng.integers(0, terms, rng.integers(1, 20)), rng.integers(0, 5, 3)))
+            dense[i, at] = rng.integers(1, 6, len(at))
+        dense[n // 2 :] = dense[: n - n // 2] if n > 100 else dense[n // 2 :]  # ties
+        dense /= np.sqrt((dense * dense).sum(1, keepdims=True))
+        row, term = np.nonzero(dense)
+        ids, labels = rng.permutation(10 * n)[:n], rng.integers(0, 2, n).astype(float)
+        index = toxicity.BlockMaxIndex(row, term, dense[row, term], ids, labels, terms)
+        queries = np.where(rng.random((150, terms)) < 8 / terms, rng.random((150, terms)), 0.0)
+        queries[:, :5] += rng.random((150, 5))
+        queries[7] = 0
+        qr, qt = np.nonzero(queries)
+        found, cosines = index.search(qr, qt, queries[qr, qt], 150, 10)
+        every = np.round(queries @ dense.T, 9)
+        for q in range(150):
+            best = [i for i in np.lexsort((ids, -every[q])) if every[q, i] > 0][:10]
+            assert index.ids[found[q][found[q] >= 0]].tolist() == ids[best].tolist()
+            assert cosines[q][: len(best)] == pytest.approx(every[q, best], abs=2e-9)
 
 
 def test_pipeline(spark, tmp_path):
