@@ -381,16 +381,75 @@ def test_lm(docs, none):
         if not held(r[0]):
             counts.update(lm.normal((r[1] or "").encode()).split())
             counts["end"] += 1
-    n, v = sum(counts.values()), len(counts)
+    n, v = sum(counts.values()), len(counts)  # all tokens and distinct tokens, the end being one
     want, seen = collections.Counter(), collections.Counter()
     for r in rows():
         tokens = [*lm.normal((r[1] or "").encode()).split(), "end"]
-        want[r[0], held(r[0]), len(tokens), sum(counts[t] > 0 for t in tokens), n, round(sum(math.log10((counts[t] + 1) / (n + v)) for t in tokens), 6)] += 1
+        want[r[0], held(r[0]), len(tokens), sum(counts[t] > 0 for t in tokens), n, round(sum(math.log10((counts[t] + 1) / (n + 1 * (v + 1))) for t in tokens), 6)] += 1
     for r in got:
         seen[r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)] += 1
         assert r.score < 0 and math.isfinite(r.score)
     assert seen == want
     assert lm.score_documents(none).count() == 0
+    untrained = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+    assert untrained.count() and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in lm.score_documents(untrained).collect())
+
+
+def ctw_probability(training: list[bytes], text: bytes, depth: int) -> float:
+    """log10 probability of a text from dictionaries of counts and plain recursion over the tree of each decision."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    seq = lambda t: bytes([255]) * depth + t + b"\xff"
+    for t in training:
+        s = seq(t)
+        for i in range(depth, len(s)):
+            for j in range(8):
+                for d in range(depth + 1):
+                    counts[s[i - d : i], 1 << j | s[i] >> (8 - j)][s[i] >> (7 - j) & 1] += 1
+    below = collections.defaultdict(list)
+    for c, d in counts:
+        if c:
+            below[c[1:], d].append(c)
+    kt = lambda z, o: (math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)) / math.log(2)
+    known = {}
+
+    def weighted(c, d):
+        if (c, d) not in known:
+            own = kt(*counts[c, d])
+            known[c, d] = own if len(c) == depth else float(np.logaddexp2(own, sum(weighted(x, d) for x in below[c, d]))) - 1
+        return known[c, d]
+
+    def predict(c, d, context):
+        """Probability of a one at the node c on the path of context."""
+        if (c, d) not in counts:
+            return 0.5
+        z, o = counts[c, d]
+        own = (o + 0.5) / (z + o + 1)
+        if len(c) == depth:
+            return own
+        stop = 2 ** (kt(z, o) - 1 - weighted(c, d))
+        return stop * own + (1 - stop) * predict(context[depth - len(c) - 1 :], d, context)
+
+    s, total = seq(text), 0.0
+    for i in range(depth, len(s)):
+        for j in range(8):
+            one = predict(b"", 1 << j | s[i] >> (8 - j), s[i - depth : i])
+            total += math.log10(one if s[i] >> (7 - j) & 1 else 1 - one)
+    return total
+
+
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_lm_scores_are_those_of_the_tree(spark, depth):
+    """The query's scores of trained and held-out texts against the plain tree."""
+    rng = random.Random(depth)
+    rs = [(i, " ".join(words(rng, 6, 30))) for i in range(14)] + [(14, ""), (15, None), (None, "The w1 The")]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rs, "doc_id long, text string").repartition(2), depth).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {i: lm.normal((t or "").encode()) for i, t in rs}
+    training = [t for i, t in texts.items() if not held(i)]
+    assert any(held(i) for i in texts)
+    for i, t in texts.items():
+        assert got[i].score == pytest.approx(ctw_probability(training, t, depth), rel=1e-5)
+        assert got[i].code_bits_per_byte == pytest.approx(-got[i].score / math.log10(2) / (len(t) + 1))
 
 
 def test_lm_is_context_tree_weighting():

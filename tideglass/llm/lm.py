@@ -1,11 +1,11 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Each byte is eight binary decisions, and each decision has a tree of contexts: no byte before it, one, up
-to four.  A node's counts give a Krichevsky-Trofimov estimate; the weight of stopping at a node against
+to `depth`, a parameter from 2 to 7.  A node's counts give a Krichevsky-Trofimov estimate; the weight of stopping at a node against
 going deeper follows from the probabilities that both give to all training data (Willems, Shtarkov and
 Tjalkens 1995), so a byte's probability mixes the estimates of all depths.
 
-Training counts five-byte strings in numpy, merges them by their last two context bytes, and computes each such
+Training counts strings of a byte and its context in numpy, merges them by their last two context bytes, and computes each such
 subtree on its own; the levels above are one fixed-size table.  The model lies in pack files in the
 shared folder, in shards of bounded size; scoring holds one shard at a time, whatever the size of the model.
 """
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import U, Pack, Ranges, crc_mod, partitions, shared_dir, small_batches, word_hashes, written
 
-DEPTH = 4
+#: Greatest context length in bytes unless the caller says otherwise; a string of seven context bytes and the byte fits 64 bits.
+DEPTH, MOST_DEPTH = 4, 7
 EDGE = 0xFF  # no byte of UTF-8: stands before the first byte and is coded as the end
-#: Strings (of five bytes) in one shard of the model, in bytes of its pack files: what a Python worker holds.
+#: One shard of the model, in bytes of its pack files: what a Python worker holds.
 SHARD_BYTES = 96 << 20
 #: Words whose counts go to all tasks: those above the least count that at most so many words have.
 MAX_COMMON = 1 << 20
 CHUNK, FLUSH = 1 << 20, 4 << 20
-BUCKETS = 64
 
 
 def normal(text: bytes) -> bytes:
@@ -69,7 +69,7 @@ def _up(keys: np.ndarray, shift: int, *columns: np.ndarray) -> tuple[np.ndarray,
 
 
 def decisions(strings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node keys, zeros and ones of the deepest contexts; a string is four context bytes, latest first, and the byte itself."""
+    """Node keys, zeros and ones of the deepest contexts; a string is the context bytes, latest first, and the byte itself."""
     context, byte = strings >> U(8) << U(8), strings & U(255)
     keys = np.concatenate([context | U(1 << j) | (byte >> U(8 - j)) for j in range(8)])
     bit = np.concatenate([(byte >> U(7 - j)) & U(1) for j in range(8)]).astype(bool)
@@ -78,22 +78,25 @@ def decisions(strings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return got, np.bincount(back, np.where(bit, 0, c), len(got)), np.bincount(back, np.where(bit, c, 0), len(got))
 
 
-def subtree(strings: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the strings with the same two latest context bytes: nodes of depths 4, 3, 2 with the predictions of their paths from depth 2 on.
+def subtree(strings: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> dict:
+    """Of the strings with the same two latest context bytes: (keys, predictions of their paths from depth 2 on) of the nodes of depths `depth` to 2, and the counts of depth 2.
 
     A prediction at a shallower node is for contexts whose deeper part was never seen: there the estimate is 1/2.
     """
-    k4, z4, o4 = decisions(strings, counts)
-    k3, to3, z3, o3, below3 = _up(k4, 8, z4, o4, block_probability(z4, o4))
-    whole3, stop3 = weigh(z3, o3, below3)
-    k2, to2, z2, o2, below2 = _up(k3, 8, z3, o3, whole3)
-    whole2, stop2 = weigh(z2, o2, below2)
-    base2 = stop2 * _estimate(z2, o2)
-    on2 = 1 - stop2
-    base3 = base2[to2] + on2[to2] * stop3 * _estimate(z3, o3)
-    on3 = on2[to2] * (1 - stop3)
-    v4 = base3[to3] + on3[to3] * _estimate(z4, o4)
-    return {"k4": k4, "v4": v4, "k3": k3, "v3": base3 + on3 / 2, "k2": k2, "v2": base2 + on2 / 2, "zeros": z2, "ones": o2, "whole": whole2}
+    keys, zeros, ones = decisions(strings, counts)
+    whole, stop = block_probability(zeros, ones), np.ones(len(keys))
+    found = [(keys, zeros, ones, stop, None)]  # with the place of each node of the level below
+    for _ in range(depth - 2):
+        keys, to, zeros, ones, below = _up(keys, 8, zeros, ones, whole)
+        whole, stop = weigh(zeros, ones, below)
+        found.append((keys, zeros, ones, stop, to))
+    base, on, levels = np.zeros(len(keys)), np.ones(len(keys)), []
+    for d, (keys_, zeros_, ones_, stop, to) in enumerate(reversed(found), 2):
+        base, on = base + on * stop * _estimate(zeros_, ones_), on * (1 - stop)
+        levels.append((keys_, base + on / 2))
+        if to is not None and d < depth:
+            base, on = base[to], on[to]
+    return {"levels": levels[::-1], "k2": keys, "zeros": zeros, "ones": ones, "whole": whole}
 
 
 def top(k2: np.ndarray, zeros: np.ndarray, ones: np.ndarray, whole: np.ndarray) -> dict[str, np.ndarray]:
@@ -121,16 +124,15 @@ def root(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return a, g
 
 
-def strings_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Five-byte strings (four context bytes, latest first, then the byte) of every byte and end of the normal texts, and each text's first."""
-    edge = bytes([EDGE]) * DEPTH
+def strings_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Strings (context bytes, latest first, then the byte) of every byte and end of the normal texts, and each text's first."""
+    edge = bytes([EDGE]) * depth
     buf = np.frombuffer(edge + edge.join(t + bytes([EDGE]) for t in texts), np.uint8).astype(U)
-    keys = buf[DEPTH:].copy()
-    for j in range(1, DEPTH + 1):
-        keys |= buf[DEPTH - j : len(buf) - j] << U(8 * (DEPTH + 1 - j))
+    keys = buf[depth:].copy()
+    for j in range(1, depth + 1):
+        keys |= buf[depth - j : len(buf) - j] << U(8 * (depth + 1 - j))
     size = np.array([len(t) + 1 for t in texts])
-    begin = np.concatenate(([0], np.cumsum(size + DEPTH)))[:-1]
-    keep = np.zeros(len(keys), bool)
+    begin = np.concatenate(([0], np.cumsum(size + depth)))[:-1]
     step = np.zeros(len(keys) + 1, np.int8)
     step[begin] += 1
     step[begin + size] -= 1
@@ -186,8 +188,9 @@ class Counts:
             self.held, self.n = [], 0
 
 
-def count_training(docs: DataFrame, salts: int) -> DataFrame:
-    """kind 0: strings by their two latest context bytes; kind 1: word hashes by bucket; kind 2: number of texts.  Packed keys and counts of each task."""
+def count_training(docs: DataFrame, salts: int, depth: int = DEPTH) -> DataFrame:
+    """kind 0: strings by their two latest context bytes; kind 1: word hashes by their top bits, in about four buckets for each input split; kind 2: number of texts.  Packed keys and counts of each task."""
+    level = max(6, (4 * partitions(docs) - 1).bit_length())
 
     def emit(batches):
         strings, words, n = Counts(), Counts(), 0
@@ -195,7 +198,7 @@ def count_training(docs: DataFrame, salts: int) -> DataFrame:
         def rows():
             strings.settle()
             words.settle()
-            for kind, of, part in ((0, strings, (strings.keys >> U(24)).astype(np.int64)), (1, words, (words.keys >> U(58)).astype(np.int64))):
+            for kind, of, part in ((0, strings, (strings.keys >> U(8 * (depth - 1))).astype(np.int64)), (1, words, (words.keys >> U(64 - level)).astype(np.int64))):
                 at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
                 for k, c, p in zip(np.split(of.keys, at[1:]), np.split(of.counts, at[1:]), part[at].tolist(), strict=True) if len(part) else ():
                     yield kind, p, k.tobytes(), c.astype(np.int64).tobytes()
@@ -209,7 +212,7 @@ def count_training(docs: DataFrame, salts: int) -> DataFrame:
             texts = _texts(batch, 0)
             n += len(texts)
             for i, j in _chunks(texts):
-                strings.add(strings_of(texts[i:j])[0], FLUSH)
+                strings.add(strings_of(texts[i:j], depth)[0], FLUSH)
                 words.add(word_hashes(texts[i:j])[0], FLUSH // 4)
                 if len(words.keys) + len(strings.keys) > 4_000_000:
                     yield out()
@@ -238,7 +241,7 @@ def merged(counts: DataFrame) -> DataFrame:
     return once.groupBy("kind", "part").applyInArrow(merge, schema)
 
 
-def train(strings: DataFrame) -> dict:
+def train(strings: DataFrame, depth: int = DEPTH) -> dict:
     """The model: tables a and g, and the places of its parts by shard (at most 65,536 rows); parts are in pack files."""
     folder = f"{shared_dir(strings.sparkSession)}/ctw-{uuid.uuid4().hex}"
 
@@ -247,8 +250,8 @@ def train(strings: DataFrame) -> dict:
         for batch in batches:
             pack = pack or Pack(folder, ".ctw")
             for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = subtree(np.frombuffer(keys, U), np.frombuffer(counts, np.int64))
-                data = b"".join([np.array([len(t["k4"]), len(t["k3"]), len(t["k2"])], np.int64).tobytes()] + [t[k].astype(x).tobytes() for k, x in (("k4", U), ("v4", np.float32), ("k3", U), ("v3", np.float32), ("k2", U), ("v2", np.float32))])
+                t = subtree(np.frombuffer(keys, U), np.frombuffer(counts, np.int64), depth)
+                data = b"".join([np.array([len(k) for k, _ in t["levels"]], np.int64).tobytes()] + [x for k, v in t["levels"] for x in (k.tobytes(), v.astype(np.float32).tobytes())])
                 tops = b"".join([t["k2"].tobytes(), t["zeros"].tobytes(), t["ones"].tobytes(), t["whole"].tobytes()])
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack.name], pa.string()), pa.array([pack.append(data)], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([tops], pa.binary())], ["part", "file", "at", "length", "tops"])
         if pack:
@@ -272,47 +275,47 @@ def train(strings: DataFrame) -> dict:
             size = 0
         shards[-1].append((r.part, r.file, r.at, r.length))
         size += r.length
-    return {"id": folder, "a": a, "g": g, "shards": shards}
+    return {"id": folder, "a": a, "g": g, "shards": shards, "depth": depth}
 
 
 class Shard:
     """A range of the model's parts, as sorted arrays, with the log10 probability of every string in it."""
 
     def __init__(self, model: dict, number: int):
-        ranges, found = Ranges(), {k: [] for k in ("k4", "v4", "k3", "v3", "k2", "v2")}
+        depth = model["depth"]
+        ranges, found = Ranges(), [([], []) for _ in range(depth - 1)]
         places = model["shards"][number]
         for _, file, at, length in places:
-            data, offset = ranges.read(file, at, length), 24
-            n = np.frombuffer(data, np.int64, 3)
-            for d, m in zip("432", n.tolist(), strict=True):
-                found["k" + d].append(np.frombuffer(data, U, m, offset))
-                found["v" + d].append(np.frombuffer(data, np.float32, m, offset + 8 * m))
+            data, offset = ranges.read(file, at, length), 8 * len(found)
+            for (keys, values), m in zip(found, np.frombuffer(data, np.int64, len(found)).tolist(), strict=True):
+                keys.append(np.frombuffer(data, U, m, offset))
+                values.append(np.frombuffer(data, np.float32, m, offset + 8 * m))
                 offset += 12 * m
-        self.low, self.high = (places[0][0], places[-1][0]) if places else (0, -1)
-        for k, v in found.items():
-            setattr(self, k, np.concatenate(v) if v else np.zeros(0, U if k[0] == "k" else np.float32))
-        self.a, self.g = model["a"], model["g"]
+        #: (keys, predictions, bits by which a string is shifted to the level), deepest first
+        self.levels = [(np.concatenate(k) if k else np.zeros(0, U), np.concatenate(v) if v else np.zeros(0, np.float32), 8 * i) for i, (k, v) in enumerate(found, 1)]
+        self.a, self.g, self.latest = model["a"], model["g"], U(8 * depth)
         # strings seen in training: decisions that end a byte
-        last = self.k4[(self.k4 & U(128)) != 0]
+        deepest = self.levels[0][0]
+        last = deepest[(deepest & U(128)) != 0]
         self.strings = np.sort(np.concatenate([(last >> U(8) << U(8)) | ((last & U(127)) << U(1)) | U(bit) for bit in (0, 1)]))
         self.scores = self._slow(self.strings).astype(np.float32)
 
     def _slow(self, strings: np.ndarray) -> np.ndarray:
         """log10 probabilities by the eight decisions, each from the deepest node that was seen."""
-        total, latest = np.zeros(len(strings)), (strings >> U(32)).astype(int)
+        total, latest = np.zeros(len(strings)), (strings >> self.latest).astype(int)
         byte = strings & U(255)
         for j in range(8):
             decision = U(1 << j) | (byte >> U(8 - j))
             bit = ((byte >> U(7 - j)) & U(1)).astype(bool)
-            v, open_ = np.full(len(strings), 0.5), np.ones(len(strings), bool)
-            for keys, values, shift in ((self.k4, self.v4, 8), (self.k3, self.v3, 16), (self.k2, self.v2, 24)):
-                if not len(keys):
+            v, open_ = np.full(len(strings), 0.5), np.arange(len(strings))
+            for keys, values, shift in self.levels:
+                if not len(keys) or not len(open_):
                     continue
-                want = (strings >> U(shift) << U(8)) | decision
+                want = (strings[open_] >> U(shift) << U(8)) | decision[open_]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = open_ & (keys[at] == want)
-                v[hit] = values[at[hit]]
-                open_ &= ~hit
+                hit = keys[at] == want
+                v[open_[hit]] = values[at[hit]]
+                open_ = open_[~hit]
             d = decision.astype(int)
             one = self.a[latest, d] + self.g[latest, d] * v
             total += np.log10(np.where(bit, one, 1 - one))
@@ -345,11 +348,11 @@ def shard(model: dict, number: int) -> Shard:
 
 def score_texts(model: dict, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each normal text."""
-    strings, begin = strings_of(texts)
+    strings, begin = strings_of(texts, model["depth"])
     order = np.argsort(strings)
     ranked = strings[order]
     out = np.empty(len(ranked))
-    part = ranked >> U(24)
+    part = ranked >> U(8 * (model["depth"] - 1))
     last = len(model["shards"]) - 1
     low = 0
     for number, places in enumerate(model["shards"]):
@@ -376,19 +379,22 @@ def _common(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 RESULT = "doc_id bigint, row_key bigint, held_out boolean, n_tokens bigint, n_known bigint, log_sum double, score double, code_bits_per_byte double, rare array<bigint>, rare_counts array<int>"
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte.
 
     Both models score the sequence of lower-cased words and an end; null and empty texts are just the end.
-    Documents with crc32(doc_id as text) mod 7 of 2 are held out of training; null ids are not.  Without
-    training rows the base has V = N = 0 and scores 0 a token, and the tree gives 1/2 to every decision.
+    Documents with crc32(doc_id as text) mod 7 of 2 are held out of training; null ids are not.  The base gives a token
+    (c + 1) / (N + V + 1); without training rows N = V = c = 0, so it scores 0, and the tree gives 1/2 to every decision.
+    `depth` is the greatest context length, 2 to MOST_DEPTH bytes.
     Repeated rows each give a row; extra columns are not read.
     """
+    if not 2 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth is {depth}; it goes from 2 to {MOST_DEPTH}")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     small_batches(docs)
-    counts = written(merged(count_training(docs, max(1, int(partitions(docs) ** 0.5)))), "merged")
-    model = spark.sparkContext.broadcast(train(counts.where("kind = 0")))
+    counts = written(merged(count_training(docs, max(1, int(partitions(docs) ** 0.5)), depth)), "merged")
+    model = spark.sparkContext.broadcast(train(counts.where("kind = 0"), depth))
 
     def spread(batches):
         for batch in batches:
@@ -433,7 +439,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sums = written(sums.withColumnRenamed("doc_id", "sum_id").withColumnRenamed("row_key", "sum_key"), "lm-rare")
     both = table.drop("rare", "rare_counts").join(sums, F.col("doc_id").eqNullSafe(F.col("sum_id")) & (F.col("row_key") == F.col("sum_key")), "left")
     end = float(np.log10(n_texts + 1.0))
-    every = float(np.log10(tokens + kinds)) if tokens else 0.0
+    every = float(np.log10(tokens + kinds + 1))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_texts > 0))).cast("bigint").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) + end - F.col("n_tokens") * every).alias("base_score"), "score", "code_bits_per_byte",
