@@ -17,32 +17,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose predicted label is 1."""
+    """Drops the rows whose predicted label is 1; each row is judged by its own text, whatever its id.
+
+    Null ids and repeated rows are judged like others; null and empty texts stay unless most such examples are toxic.
+    Without labels, or with an empty table, nothing is dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    bad = toxicity.score_documents(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.score_documents(docs, labels, keep=tuple(COLUMNS[1:])).where("predicted = 0").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id; texts without words stay."""
-    groups = ngram_join.link_documents(docs)
-    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each group of near copies one row, that of the smallest id (null ids last, then by text); of repeated rows one.
+
+    Texts without words (null, empty) are copies of nothing and all stay; an empty table stays empty.
+    """
+    return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occurred in an earlier document out of the texts."""
+    """Cuts passages that occurred in an earlier document out of the texts; no row goes.
+
+    Null and empty texts stay as they are; n_chars follows the text.  Rows of equal id and text are one document and get
+    the same text; null ids come last in the order of occurrence.  An empty table stays empty.
+    """
     out = substring.dedup_substrings(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source has its share of words."""
+    """Repeats or leaves out documents so that each source has its share of words.
+
+    A null source is a source, the last; null ids and repeated rows come as often as their share of the mix says; texts
+    without words have size 0 and come as often as their source's whole epochs, or once more.  An empty table stays empty.
+    """
     return mixing.expand(docs, mixing.mix(docs)).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded texts."""
+    """Token counts and digests of the encoded texts, a row for each row; a null text is the empty one."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

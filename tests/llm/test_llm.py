@@ -305,52 +305,99 @@ def test_chunks_fall_into_step():
         assert chunking.cuts([a, t, a], 5, 24, 512)[1] == ends
 
 
+def substring_truth(rs, least=substring.LEAST_RUN):
+    """Of each row, the text without repeats, the spans and the ids of first occurrence: plain dictionaries over the chunks' bytes."""
+    key = lambda r: (r[0] is None, r[0] or 0, substring._row_key(r[0], (r[1] or "").encode()))
+    chunks = {}
+    for r in rs:
+        t = (r[1] or "").encode()
+        (ends,) = chunking.cuts([t], substring.BITS, substring.LEAST, substring.MOST)
+        chunks[key(r)] = [(a, b, t[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    first = {}
+    for k in sorted(chunks):
+        for a, _, x in chunks[k]:
+            first.setdefault(x, (k, a))
+    out = []
+    for r in rs:
+        t, spans, ids = (r[1] or "").encode(), [], []
+        for a, b, x in chunks[key(r)]:
+            if first[x] != (key(r), a):
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                    ids[-1].add(first[x][0][:2])
+                else:
+                    spans.append([a, b])
+                    ids.append({first[x][0][:2]})
+        keep = [b - a >= least for a, b in spans]
+        spans, ids = [tuple(s) for s, k in zip(spans, keep, strict=True) if k], [i for i, k in zip(ids, keep, strict=True) if k]
+        rest = b"".join(t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)], strict=True))
+        out.append((r[0], None if r[1] is None else rest.decode(), len(t), len(t) - len(rest), tuple(spans), tuple(sorted({i for s in ids for null, i in s if not null}))))
+    return collections.Counter(out)
+
+
 def test_substring(docs, none):
     got = substring.dedup_substrings(docs)
     assert got.columns[: len(docs.columns)] == docs.columns
-    texts, old = {}, {}
-    for r in rows():
-        if r[0] is not None:
-            old[r[0]] = r[1]
-    by_id = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
-    assert set(by_id) == set(old)
-    for i, r in by_id.items():
-        data = (old[i] or "").encode()
-        kept, last = [], 0
-        for s in r.spans or []:
-            kept.append(data[last : s.begin])
-            last = s.end
-        assert (r.text or "").encode() == b"".join([*kept, data[last:]])
-        assert r.removed_bytes == len(data) - len((r.text or "").encode())
-        texts[i] = r.removed_bytes
-    with_passage = list(range(68, 74))
-    assert texts[68] == 0 and all(texts[i] > 200 for i in with_passage[1:])
-    assert by_id[70].first_ids == [68]
-    assert all(texts[i] == 0 for i in range(1, 60))
-    assert by_id[78].text is None
+    assert collections.Counter((r.doc_id, r.text, r.n_bytes, r.removed_bytes, tuple(map(tuple, r.spans)), tuple(r.first_ids or ())) for r in got.collect()) == substring_truth(rows())
+    removed = {r.doc_id: r.removed_bytes for r in got.collect() if r.doc_id is not None}
+    assert removed[68] == 0 and all(removed[i] > 200 for i in range(69, 74))  # a passage stays where it came first
     assert substring.dedup_substrings(none).count() == 0
 
 
+def test_substring_keeps_columns_of_any_name(spark):
+    text = " ".join(words(random.Random(3), 80, 10**6))
+    docs = spark.createDataFrame([(2, text, 1, 2, 3, "a"), (1, text, 4, 5, 6, "b")], "doc_id long, text string, row_key int, span_of int, span_of_key int, spans string")
+    got = {r.doc_id: r for r in substring.dedup_substrings(docs).collect()}
+    assert (got[1].row_key, got[1].span_of, got[1].span_of_key) == (4, 5, 6) and got[1].text == text and got[2].text == ""
+
+
 def test_media(docs, none):
-    got = collections.Counter(tuple(r)[:5] for r in media.media_documents(docs).collect())
-    want = set()
+    """A row for each row; payloads, features and stored forms against plain recomputation."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    got = collections.Counter(tuple(r) for r in media.media_documents(docs).collect())
+    want = collections.Counter()
     for r in rows():
-        p = media.payload((r[1] or "").encode())
-        want.add((r[0], len((r[1] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
-    assert set(got) == want
-    same = collections.defaultdict(set)
-    for r in media.media_documents(docs).collect():
-        same[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
-    assert all(len(x) == 1 for x in same.values())
+        text = (r[1] or "").encode()
+        p = text + b"\xff" * ((-len(text)) % 576 or (0 if text else 576))
+        (ends,) = chunking.cuts([p], media.BITS, media.LEAST, media.MOST, characters=False)
+        stored = [squeeze(p[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        a = list(p)
+        mean = sum(a) / len(a)
+        dev = math.sqrt(sum((x - mean) ** 2 for x in a) / len(a))
+        crossings = sum((x >= 128) != (y >= 128) for x, y in zip(a, a[1:], strict=False))
+        want[r[0], len(text), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), sum(map(len, stored)), hashlib.sha256(b"".join(stored)).hexdigest(), f"mean={mean:.4f};dev={dev:.4f};crossings={crossings}", len(ends)] += 1
+    assert got == want
     assert media.media_documents(none).count() == 0
 
 
+def test_media_stores_a_chunk_once_and_finds_damage(spark):
+    rng = random.Random(13)
+    text = " ".join(words(rng, 20000, 10**6))
+    docs = spark.createDataFrame([(i, text[i:]) for i in range(6)], "doc_id long, text string")
+    manifest = common.written(media.store(docs), "manifest")
+    rs = manifest.collect()
+    assert len({r.digest for r in rs}) == len({(r.file, r.offset) for r in rs}) < 0.25 * len(rs)
+    r = rs[len(rs) // 2]
+    path = r.file.removeprefix("file:")
+    with open(path, "r+b") as f:
+        f.seek(r.offset + r.length // 2)
+        old = f.read(1)
+        f.seek(r.offset + r.length // 2)
+        f.write(bytes([old[0] ^ 1]))
+    with pytest.raises(Exception, match="damaged"):
+        media.read_back(manifest).collect()
+    with pytest.raises(Exception, match="missing|whole"):
+        media.read_back(manifest.where(f"not (medium = {r.medium} and seq = {r.seq})").where(f"digest != X'{r.digest.hex()}'")).collect()
+
+
 PAGES = "page_id long, url string, html string, key string"
 
 
 def pages():
     rs = [(i, f"http://{'abc'[i % 3]}.Example.com:80/p{i}?q=é", f"<p>{i % 7}</p>" * (i % 5), "k") for i in range(40)]
-    return [*rs, (50, None, None, "k"), (51, "http://[bad", "x", "k"), (52, "http://[bad", "x", "k"), (None, "http://n/", "<p>1</p>", "k"), (53, "nonsense \n", "日本" * 5000, "k")]
+    return [*rs, (50, None, None, "k"), (51, "http://[bad", "x", "k"), (52, "http://[bad", "x", "k"), (54, "http://[bad<\tx", "t", "k"), (55, "http://a:99999/x\ty", "t", "k"), (3, "http://a.Example.com:80/p3?q=é", "<p>3</p>" * 3, "k"), *[(60, "http://r/", "<p>again</p>", "k")] * 4, *[(61, "http://r/", "<p>again</p>", "k")] * 2, (None, "http://n/", "<p>1</p>", "k"), (53, "nonsense \n", "日本" * 5000, "k")]
 
 
 def test_warc(spark, none):
@@ -359,10 +406,11 @@ def test_warc(spark, none):
     first = {}
     for r in sorted(pages(), key=lambda r: (r[0] is None, r[0])):
         first.setdefault(r[2] or "", r[0])
-    want = collections.Counter()
-    for r in pages():
+    want, responses = collections.Counter(), set()
+    for r in sorted(pages(), key=lambda r: (r[0] is None, r[0])):
         p = (r[2] or "").encode()
-        revisit = first[r[2] or ""] != r[0]
+        revisit = first[r[2] or ""] != r[0] or p in responses
+        responses.add(p)
         want[r[0], len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response", first[r[2] or ""] if revisit else None] += 1
     assert got == want
     assert all(r.record_type == "response" for r in warc.archive_pages(df, least=10**9).collect())
@@ -669,6 +717,40 @@ def test_block_max_search_is_exact():
             assert cosines[q][: len(best)] == pytest.approx(every[q, best], abs=2e-9)
 
 
+def test_pipeline_stages_tell_rows_apart_by_text(spark):
+    """Repeated and null ids: what happens to one row's text has no effect on another text of its id."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c = (" ".join(words(rng, 60, 10**6)) for _ in range(3))
+    rs = [(5, a, "en", "s", 1), (3, b, "en", "s", 1), (5, b, "fr", "s", 1), (None, c, "en", "s", 1), (None, c, "en", None, None), (9, c + " x", "en", "s", 1), (7, None, "en", "s", 1), (7, None, "en", "s", 1), (8, " \n", None, "s", 1), (3, b, "en", "s", 1)]
+    docs = spark.createDataFrame(rs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert got == collections.Counter([(5, a), (3, b), (9, c + " x"), (7, None), (7, None), (8, " \n")])
+    clashing = docs.selectExpr("*", "1 AS first_id", "2 AS text_key", "3 AS node")
+    out = ngram_join.one_of_each(clashing)
+    assert out.columns == clashing.columns and out.count() == 6
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("*", "1 AS mixed_own", "2 AS copies", "3 AS epoch", "4 AS tie", "5 AS size")
+    assert mixing.expand(clash, mixing.mix(clash)).columns == clash.columns
+
+
+def test_reject_toxic_judges_rows(spark, tmp_path):
+    """A clean row stays though another text of its id goes; null ids and texts take part."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    rs = [(i, " ".join(words(rng, 40, 3000) + (["vile", "nasty"] if i % 8 == 0 else [])), "en", "s", 1) for i in range(400)]
+    spark.createDataFrame([(r[0], 0, int(r[0] % 8 == 0)) for r in rs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = next(i for i in range(0, 400, 8) if zlib.crc32(str(i).encode()) % 3 == 1)  # its texts are no examples
+    rs += [(held, "a clean text of a toxic id w1 w2", "en", "s", 1), (None, "vile nasty w5", "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rs, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.reject_toxic(spark, docs, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    want = collections.Counter((r[0], r[1]) for r in rs if "vile" not in (r[1] or ""))
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

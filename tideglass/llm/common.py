@@ -22,9 +22,11 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideglass-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -70,6 +72,13 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes for no column of df to begin with it (in any case)."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -220,10 +229,20 @@ def repeat_filter(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[np.nd
         np.bitwise_or.at(bitmap, (at >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & U(7)).astype(np.uint8)))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([zlib.compress(bitmap.tobytes(), 1)], pa.binary())})
 
+    def join(key, table):
+        """The bitmaps of neighbouring buckets as one."""
+        whole = np.zeros((1 << (level - high), 1 << (bits - level - 3)), np.uint8)
+        for bucket, bitmap in zip(table["bucket"].to_pylist(), table["bitmap"].to_pylist(), strict=True):
+            whole[bucket & ((1 << (level - high)) - 1)] = np.frombuffer(zlib.decompress(bitmap), np.uint8)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([zlib.compress(whole.tobytes(), 1)], pa.binary())})
+
+    high = min(level, 8)
     sent = df.mapInArrow(tidy(emit), "bucket int, payload binary")
-    rows = sent.groupBy("bucket").applyInArrow(reduce, "bucket int, bitmap binary").collect()  # 2**bits bits in all
-    whole = np.zeros((1 << level, 1 << (bits - level - 3)), np.uint8)
-    for r in rows:
+    rows = sent.groupBy("bucket").applyInArrow(reduce, "bucket int, bitmap binary")
+    if level > high:
+        rows = rows.groupBy(F.shiftright("bucket", level - high).alias("high")).applyInArrow(join, "bucket int, bitmap binary")
+    whole = np.zeros((1 << high, 1 << (bits - high - 3)), np.uint8)
+    for r in rows.collect():  # 256 rows at most, 2**bits bits in all
         whole[r.bucket] = np.frombuffer(zlib.decompress(r.bitmap), np.uint8)
     return spark.sparkContext.broadcast(RepeatFilter(whole.reshape(-1), bits))
 

@@ -8,23 +8,20 @@ chunk list; reading it back fetches the byte ranges, checks every chunk's digest
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import cuts
-from .common import Pack, Ranges, repeat_filter, shared_dir, small_batches, steps, texts_of, written
+from .common import Pack, Ranges, repeat_filter, shared_dir, small_batches, steps, texts_of, tidy, written
 
 UNIT, PAD = 576, b"\xff"
 BITS, LEAST, MOST = 11, 1024, 16384
-MAGIC = b"CHUNKED1"
 
 
 def payload(text: bytes) -> bytes:
@@ -47,11 +44,15 @@ def _keys(batch):
         yield np.frombuffer(b"".join(d[:8] for c in _chunks([payload(t) for t in texts[i:j]]) for d, _ in c), ">u8").astype(np.uint64)
 
 
-MANIFEST = "doc_id bigint, row_key bigint, n_bytes bigint, seq int, digest binary, file string, offset bigint, length int, blob binary"
+MANIFEST = "medium bigint, doc_id bigint, n_bytes bigint, seq int, digest binary, file string, offset bigint, length int, blob binary"
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Writes the payloads of docs' texts; returns the manifest: a row for each chunk of each medium, with its place."""
+    """Writes the payloads of docs' texts; returns the manifest: a row for each chunk of each medium, with its place.
+
+    Every row of docs is a medium of its own; `medium` is a random number and a count, new for each attempt of a task, and
+    the manifest is written before it is read, so that only the attempts that succeeded are in it.
+    """
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
     small_batches(docs)
@@ -59,6 +60,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     def put(batches):
         pack, sent = None, set()
+        medium = uuid.uuid4().int >> 65
         squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
@@ -67,17 +69,17 @@ def store(docs: DataFrame) -> DataFrame:
                 found = _chunks([payload(t) for t in texts[i:j]])
                 again = iter(repeats.value(np.frombuffer(b"".join(d[:8] for c in found for d, _ in c), ">u8").astype(np.uint64)).tolist())
                 for k, chunks in enumerate(found, i):
-                    key = xxhash.xxh3_64_intdigest(texts[k], seed=(ids[k] or 0) & (2**64 - 1)) >> 1
+                    medium = (medium + 1) % 2**63
                     for seq, (digest, x) in enumerate(chunks):
                         if next(again):  # kept once, after the shuffle
                             blob = squeeze(x) if digest not in sent else None
                             if len(sent) < 100_000:
                                 sent.add(digest)
-                            rows.append((ids[k], key, len(texts[k]), seq, digest, None, None, None, blob))
+                            rows.append((medium, ids[k], len(texts[k]), seq, digest, None, None, None, blob))
                         else:
                             pack = pack or Pack(folder, ".pack")
                             blob = squeeze(x)
-                            rows.append((ids[k], key, len(texts[k]), seq, digest, pack.name, pack.append(blob), len(blob), None))
+                            rows.append((medium, ids[k], len(texts[k]), seq, digest, pack.name, pack.append(blob), len(blob), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
         if pack:
             pack.close()
@@ -92,15 +94,15 @@ def store(docs: DataFrame) -> DataFrame:
         if pack:
             pack.close()
 
-    rows = written(docs.mapInArrow(put, MANIFEST), "media-rows")
+    rows = written(docs.mapInArrow(tidy(put), MANIFEST), "media-rows")
     shared = written(rows.where("blob is not null").select("digest", "blob").groupBy("digest").agg(F.first("blob").alias("blob")).mapInArrow(put_shared, "digest binary, file string, offset bigint, length int"), "media-shared")
     s = shared.select(F.col("digest").alias("d"), F.struct("file", "offset", "length").alias("place"))
-    placed = rows.where("file is null").drop("blob", "file", "offset", "length").join(s, F.col("digest") == F.col("d")).select("doc_id", "row_key", "n_bytes", "seq", "digest", "place.*")
+    placed = rows.where("file is null").drop("blob", "file", "offset", "length").join(s, F.col("digest") == F.col("d")).select("medium", "doc_id", "n_bytes", "seq", "digest", "place.*")
     return rows.where("file is not null").drop("blob").unionByName(placed)
 
 
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
-NAMES = ["doc_id", "row_key", "n_bytes", "seq", "digest", "file", "offset", "length", "blob"]
+NAMES = ["medium", "doc_id", "n_bytes", "seq", "digest", "file", "offset", "length", "blob"]
 OUT = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_chunks int"
 
 
@@ -114,41 +116,44 @@ def feature(samples: bytes) -> str:
 def read_back(manifest: DataFrame) -> DataFrame:
     """Reconstructs each medium of a manifest from the store and describes it.
 
-    The stored form is the chunk list (magic, unpadded length, number of chunks; digest and stored length of each)
-    followed by the stored chunks in order.  A chunk whose digest does not match fails the job.
+    The stored form is the medium's stored chunks in order, as they are in the pack files.  A chunk that is missing or whose
+    digest does not match fails the job.
     """
     # a medium's chunk list is as long as its own text needs
-    lists = manifest.groupBy("doc_id", "row_key").agg(F.max("n_bytes").alias("n_bytes"), F.array_sort(F.collect_set(F.struct("seq", "digest", "length", "file", "offset"))).alias("chunks"))
+    lists = manifest.groupBy("medium", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("seq", "digest", "length", "file", "offset"))).alias("chunks")).drop("medium")
 
     def run(batches):
         ranges, expand = Ranges(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc_id, key, n_bytes, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts, blobs, last = [], [], -1
-                for c in chunks:
-                    if c["seq"] == last:  # a row that is there twice
-                        continue
-                    last = c["seq"]
-                    blobs.append(ranges.read(c["file"], c["offset"], c["length"]))
-                    parts.append(expand(blobs[-1], max_output_size=MOST))
-                    if hashlib.sha256(parts[-1]).digest() != c["digest"]:
-                        raise ValueError(f"chunk {last} of medium {doc_id} is damaged")
-                head = MAGIC + struct.pack(">QI", n_bytes, len(parts)) + b"".join(hashlib.sha256(p).digest() + struct.pack(">I", len(b)) for p, b in zip(parts, blobs, strict=True))
-                media, whole = head + b"".join(blobs), b"".join(parts)
-                rows.append((doc_id, n_bytes, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(whole), len(parts), key))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "row_key"]
+            for doc_id, n_bytes, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts, stored, size = [], hashlib.sha256(), 0
+                for seq, c in enumerate(chunks):
+                    blob = ranges.read(c["file"], c["offset"], c["length"])
+                    try:
+                        parts.append(expand(blob, max_output_size=MOST))
+                    except zstandard.ZstdError as e:
+                        raise ValueError(f"chunk {seq} of document {doc_id} is damaged") from e
+                    if c["seq"] != seq or hashlib.sha256(parts[-1]).digest() != c["digest"]:
+                        raise ValueError(f"chunk {seq} of document {doc_id} is damaged or missing")
+                    stored.update(blob)
+                    size += len(blob)
+                whole = b"".join(parts)
+                if len(whole) != max(UNIT, -(-n_bytes // UNIT) * UNIT):
+                    raise ValueError(f"the payload of document {doc_id} is not whole")
+                rows.append((doc_id, n_bytes, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), size, stored.hexdigest(), feature(whole), len(parts)))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
-    return lists.mapInArrow(run, OUT + ", row_key bigint")
+    return lists.mapInArrow(tidy(run), OUT)
 
 
 def media_documents(docs: DataFrame) -> DataFrame:
     """Stores and reads back the payload of every row's text: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks.
 
-    Null text is the empty text: one UNIT of padding.  Rows of equal id and text are one medium and give
-    one row; rows of equal id and other texts, and null ids, give a row each.  Texts of any length are
-    whole; other columns are not read.
+    Null text is the empty text: one UNIT of padding.  Every row is a medium and gives a row, repeated rows and null ids too;
+    equal texts give equal values.  Texts of any length are whole; an empty table gives an empty result; other columns are
+    not read.
     """
-    return read_back(store(docs)).drop("row_key")
+    return read_back(store(docs))

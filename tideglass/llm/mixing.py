@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, free, written
 
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 #: Leading hex digits of the key that number a range: 16**3 ranges in each source.
@@ -90,17 +90,18 @@ def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     columns) have what is left over, as only rows at a source's cut have.
     """
     key = ["doc_id", "source", "tie"]
+    p = free(docs, "mixed_")
     m = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
-    m = m.select(*(F.col(c).alias(f"mixed_{c}") for c in key), F.floor(F.col("copies") / F.col("alike")).alias("mixed_each"), (F.col("copies") % F.col("alike")).alias("mixed_rest"))
+    m = m.select(*(F.col(c).alias(f"{p}{c}") for c in key), F.floor(F.col("copies") / F.col("alike")).alias(f"{p}each"), (F.col("copies") % F.col("alike")).alias(f"{p}rest"))
     m = written(m, "mix-copies")
-    d = docs.withColumn("mixed_own", F.xxhash64("text"))
-    joined = d.join(m, F.col("doc_id").eqNullSafe(F.col("mixed_doc_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (F.col("mixed_own") == F.col("mixed_tie")))
-    even = joined.where("mixed_rest = 0").select(*docs.columns, F.col("mixed_each").alias("mixed_copies"))
+    d = docs.withColumn(f"{p}own", F.xxhash64("text"))
+    joined = d.join(m, F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id")) & F.col("source").eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}own") == F.col(f"{p}tie")))
+    even = joined.where(f"{p}rest = 0").select(*docs.columns, F.col(f"{p}each").alias(f"{p}copies"))
     # one group for each source at most
-    number = F.row_number().over(Window.partitionBy("doc_id", "source", "mixed_own").orderBy(*docs.columns))
-    uneven = joined.where("mixed_rest > 0").select(*docs.columns, (F.col("mixed_each") + (number <= F.col("mixed_rest")).cast("int")).alias("mixed_copies"))
-    out = even.unionByName(uneven).where("mixed_copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))).alias("mixed_epoch")).select(*docs.columns)
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", f"{p}own").orderBy(*docs.columns))
+    uneven = joined.where(f"{p}rest > 0").select(*docs.columns, (F.col(f"{p}each") + (number <= F.col(f"{p}rest")).cast("int")).alias(f"{p}copies"))
+    out = even.unionByName(uneven).where(f"{p}copies > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{p}copies").cast("int"))).alias(f"{p}epoch")).select(*docs.columns)
 
 
 def oracle_sql(relation: str = "documents", seed: int = 0) -> str:

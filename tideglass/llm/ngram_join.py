@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix64, random_table, repeat_filter, small_batches, steps, texts_of, tidy, word_hashes, written
+from .common import U, WORD, free, mix64, random_table, repeat_filter, small_batches, steps, texts_of, tidy, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -30,6 +30,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: A token is frequent if documents with more than so many different least shingles hold it; at most so many tokens are.
 SPREAD, MAX_FREQUENT = 12, 1 << 19
+#: Nodes of a hub that meet in blocks of about so many.
+HUB_BLOCK = 256
 COEFFICIENTS = random_table(SHINGLE, 11) | U(1)
 SHORT = random_table(SHINGLE, 12)
 
@@ -223,12 +225,12 @@ def _ordered(a: str, b: str):
 
 
 def index_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null for an empty one), common and the repeating keys of every row, as a table.
+    """doc_id, n_shingles, node (digest of the set; null for an empty one), common, the repeating keys and text_key (xxhash64 of the text) of every row, as a table.
 
     common is at least the number of the set's tokens that other sets hold too: those that pass the repeat filter.
     Two sets share no more than the lesser of their two.  A full filter only makes it a weaker bound.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
 
@@ -255,9 +257,9 @@ def index_documents(docs: DataFrame) -> DataFrame:
                     nodes.append(_node(s) if len(s) else None)
                     keys_.append(k[hit].view(np.int64))
                     whole.append(bool((at >= 0).all()) and len(at) == (prefix_length(len(s)) if len(s) else 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(whole, pa.bool_())], ["doc_id", "n_shingles", "node", "common", "keys", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(common, pa.int64()), pa.array(keys_, pa.list_(pa.int64())), pa.array(whole, pa.bool_()), batch.column(2)], ["doc_id", "n_shingles", "node", "common", "keys", "whole", "text_key"])
 
-    return written(docs.mapInArrow(tidy(emit), "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, whole boolean"), "shingles")
+    return written(docs.mapInArrow(tidy(emit), "doc_id bigint, n_shingles bigint, node binary, common bigint, keys array<bigint>, whole boolean, text_key bigint"), "shingles")
 
 
 def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
@@ -278,15 +280,17 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     lists = lists.withColumn("missing", F.when(F.col("hub") == F.col("node"), none).when(hub_first, F.col("only_a")).otherwise(F.col("only_b")))
     lists = lists.withColumn("extra", F.when(F.col("hub") == F.col("node"), none).when(hub_first, F.col("only_b")).otherwise(F.col("only_a")))
     lists = written(lists.withColumn("inside", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "shared", "only_a", "only_b"), "lists")
-    largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"))
-    lists = written(lists.join(largest, "hub"), "lists")
+    largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.ceil(F.sum("m") / F.lit(float(HUB_BLOCK))).cast("int").alias("blocks"))
+    lists = written(lists.join(largest, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "lists")
 
     def side(s: str) -> DataFrame:
-        return lists.select("hub", *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("after", "after"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"), ("missing", "missing"), ("extra", "extra"))), *(["largest"] if s == "x" else []))
+        # the nodes of a large hub are in blocks, and every block of one side meets every block of the other in a task of its own
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        return lists.select("hub", *([F.col("block").alias("block_x"), other.alias("block_y")] if s == "x" else [other.alias("block_x"), F.col("block").alias("block_y")]), *(F.col(a).alias(f"{b}_{s}") for a, b in (("node", "node"), ("n", "n"), ("common", "r"), ("after", "after"), ("whole", "w"), ("component", "c"), ("keys", "keys"), ("elsewhere", "else"), ("inside", "in"), ("missing", "missing"), ("extra", "extra"))), *(["largest"] if s == "x" else []))
 
     shared = F.size(F.array_intersect("keys_x", "keys_y"))
     least = F.least(*(_least_shared("n_x", "n_y", f"after_{s}") - F.col(f"else_{s}") for s in "xy"))
-    met = side("x").where("c_x != largest").join(side("y"), "hub").where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
+    met = side("x").where("c_x != largest").join(side("y"), ["hub", "block_x", "block_y"]).where((F.col("c_y") == F.col("largest")) | (F.col("c_x") < F.col("c_y"))).where("c_x != c_y")
     outside = F.least(*(F.greatest(F.col(f"r_{s}") - F.col(f"in_{s}"), F.lit(0)) for s in "xy"))
     most = F.when(F.col("in_x").isNotNull() & F.col("in_y").isNotNull(), F.least("in_x", "in_y") + outside).otherwise(F.least("r_x", "r_y"))
     met = met.where(_similar("n_x", "n_y", "r_x", "r_y")).where((DENOMINATOR + NUMERATOR) * most >= NUMERATOR * (F.col("n_x") + F.col("n_y"))).where(shared >= F.when(F.col("w_x") & F.col("w_y"), F.greatest(least, F.lit(1))).otherwise(1))
@@ -332,6 +336,13 @@ def node_components(table: DataFrame, docs: DataFrame) -> DataFrame:
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
+def _placed(table: DataFrame, docs: DataFrame) -> DataFrame:
+    """own (least doc_id), node, component of every node."""
+    found = node_components(table, docs)
+    own = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
+    return own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -342,9 +353,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs)
     table = index_documents(docs)
-    found = node_components(table, docs)
-    own = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own"))
-    with_component = own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    with_component = _placed(table, docs)
     least = with_component.groupBy("component").agg(F.min("own").alias("component_id"))
     ids = written(with_component.join(least, "component").select("node", "component_id"), "component-ids")
     return (
@@ -352,3 +361,28 @@ def link_documents(docs: DataFrame) -> DataFrame:
         .join(ids, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each component of linked texts the row with the least (doc_id, text), null ids last.
+
+    Rows are told apart by id and text, so a text stays if only other texts of its id have copies.  Rows alike in both are
+    copies of each other, and the first in order of the other columns stays.  Texts without words (null, empty) are copies
+    of nothing: all their rows stay.  An empty table gives an empty result.
+    """
+    small_batches(docs)
+    table = index_documents(docs)
+    placed = _placed(table, docs).select("node", "component")
+    rows = table.where("node is not null").groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("alike"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "alike")
+    first = rows.join(placed, "node").groupBy("component").agg(F.min(order).alias("first"))
+    p = free(docs, "first_")
+    first = written(first.select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.text_key").alias(f"{p}key"), F.col("first.alike").alias(f"{p}alike")), "firsts")
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    key = free(docs, "text_key")
+    d = docs.where(has_words).withColumn(key, F.xxhash64("text"))
+    found = d.join(first, d["doc_id"].eqNullSafe(first[f"{p}id"]) & (F.col(key) == F.col(f"{p}key")))
+    alone = found.where(F.col(f"{p}alike") == 1).select(*docs.columns)
+    # rows alike in id and text: partial minima, so a group of any size is a row for each task
+    one = found.where(F.col(f"{p}alike") > 1).groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.where(~has_words).unionByName(alone).unionByName(one)

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunking import cuts
-from .common import repeat_filter, small_batches, steps, texts_of, tidy, written
+from .common import free, repeat_filter, small_batches, steps, texts_of, tidy, written
 
 BITS, LEAST, MOST, LEAST_RUN = 5, 24, 512, 96
 SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 ADDED = ("n_bytes", "removed_bytes", "spans", "first_ids")
+#: A chunk's digest that is over one in so many of the chunks that pass the filter is joined by broadcast: there are at most so many.
+HOT = 4096
 
 
 def _row_key(doc_id, text: bytes) -> int:
@@ -70,8 +72,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     chunks = written(docs.mapInArrow(tidy(emit), "doc_id bigint, row_key bigint, begin int, end int, d1 bigint, d2 bigint"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "begin")
-    first = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first != latest").select("d1", "d2", "first")
-    return chunks.join(first, ["d1", "d2"]).where(place != F.col("first")).select("doc_id", "row_key", "begin", "end", F.col("first.doc_id").alias("first_id")).distinct()
+    first = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("latest"), F.count(F.lit(1)).alias("n")).where("first != latest")
+    first = written(first.select("d1", "d2", "first", "n"), "first-chunks")
+    often = F.broadcast(first.where(F.col("n") * HOT > chunks.count()).select("d1", "d2", "first"))  # at most HOT rows
+    rest = first.where(F.col("n") * HOT <= chunks.count()).select("d1", "d2", "first")
+    joined = chunks.join(often, ["d1", "d2"]).unionByName(chunks.join(often, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
+    return joined.where(place != F.col("first")).select("doc_id", "row_key", "begin", "end", F.col("first.doc_id").alias("first_id")).distinct()
 
 
 def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
@@ -81,7 +87,7 @@ def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
     first_ids (sorted ids of the documents where what was cut came first).
     Rows of equal id and text are one document and get the same answer.  Null and empty texts stay
     as they are, with no span; null ids come last in the order of first occurrence.  A column of docs
-    that is called like one of these is replaced.
+    that is called like one of these is replaced; all others stay, whatever their names.
     """
     small_batches(docs)
     repeats = repeated_chunks(docs.select("doc_id", "text"))
@@ -106,22 +112,23 @@ def dedup_substrings(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, SPANS), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "spans", "first_ids"])
 
     spans = runs.mapInArrow(tidy(merge), schema).where(F.size("spans") > 0)
-    rest = [c for c in docs.columns if c not in (*ADDED, "row_key")]
-    keyed = _with_row_key(docs.select(*rest))
+    rest = [c for c in docs.columns if c.lower() not in ADDED]
+    key, own = free(docs, "row_key"), free(docs, "span_of")
+    keyed = _with_row_key(docs.select(*rest), key)
     # only the few rows that lose a passage need a join with the texts
-    s = spans.select(F.col("doc_id").alias("span_id"), F.col("row_key").alias("span_key"), "spans", "first_ids")
-    both = keyed.join(s, (keyed.doc_id.eqNullSafe(s.span_id)) & (keyed.row_key == s.span_key), "left").drop("span_id", "span_key", "row_key")
+    s = spans.select(F.col("doc_id").alias(own), F.col("row_key").alias(f"{own}_key"), "spans", "first_ids")
+    both = keyed.join(s, keyed["doc_id"].eqNullSafe(s[own]) & (keyed[key] == s[f"{own}_key"]), "left").drop(own, f"{own}_key", key)
     return _cut(both, rest)
 
 
-def _with_row_key(docs: DataFrame) -> DataFrame:
+def _with_row_key(docs: DataFrame, name: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(at_id).to_pylist(), texts_of(batch.column(at_text))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_row_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64())], [*batch.schema.names, "row_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_row_key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64())], [*batch.schema.names, name])
 
     at_id, at_text = docs.columns.index("doc_id"), docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("row_key", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     return docs.mapInArrow(tidy(run), schema)
 
 

@@ -25,6 +25,8 @@ from .common import Pack, Ranges, partitions, shared_dir, written
 BLOCK_LINES, ARCHIVE_BYTES, LEVEL = 1000, 256 << 20, 4
 DATE = "2000-01-01T00:00:00Z"
 LEAST_REVISIT_BYTES = 0
+#: A payload in more than one in so many of the rows whose payloads repeat is joined by broadcast.
+HOT = 4096
 
 CAPTURE = "key string, line string"
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -42,7 +44,7 @@ def url_key(url: str | None) -> str:
 
 
 def capture_key(url: str | None, page_id: int | None) -> str:
-    return f"{url_key(url)} {'' if page_id is None else f'{page_id:020d}'}".replace("\n", "%0A")
+    return f"{url_key(url)} {'' if page_id is None else f'{page_id:020d}'}".replace("\n", "%0A").replace("\t", "%09")
 
 
 def _record_id(page_id, url) -> str:
@@ -82,16 +84,30 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFr
     """Writes a record for each row of pages; returns the captures (key and JSON line), written to the shared folder.
 
     Of rows with equal payloads of at least `least` bytes, the one of least (page_id, url), null last, is the
-    response and the others are revisits of it.
+    response and the others are revisits of it; of rows alike in these, too, one.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", html.alias("payload")).withColumn("same", F.sha2("payload", 256))
     who = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")
     # only payloads that occur again need a join
-    first = p.where(F.length("payload") >= least).groupBy("same").agg(F.min(who).alias("first"), F.max(who).alias("other")).where("first != other").select(F.col("same").alias("again"), "first")
-    joined = p.join(first, F.col("same") == F.col("again"), "left").withColumn("revisit", F.coalesce(who != F.col("first"), F.lit(False)))
-    rows = joined.select("page_id", "url", F.when(F.col("revisit"), F.col("first.page_id")).alias("first_id"), F.when(F.col("revisit"), F.col("first.url")).alias("first_url"), "revisit", "payload")
+    rows_of = p.where(F.length("payload") >= least).groupBy("same", who.alias("who")).agg(F.count(F.lit(1)).alias("alike"))
+    first = rows_of.groupBy("same").agg(F.min(F.struct("who", "alike")).alias("first"), F.sum("alike").alias("size")).where("size > 1").select(F.col("same").alias("again"), "first.who", "first.alike", "size")
+    first = written(first, "first-captures")
+    # a payload in a large share of the rows is joined by broadcast: there are at most HOT such, and none meets in one task
+    n, alike = first.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("alike"), F.lit(0))).first()
+    hot, rest = first.where(F.col("size") * HOT > n), first.where(F.col("size") * HOT <= n)
+    same = F.col("same") == F.col("again")
+    in_hot = p.join(F.broadcast(hot), same)
+    others = p.join(F.broadcast(hot.select("again")), same, "left_anti").join(rest, same, "left")
+    joined = in_hot.unionByName(others).withColumn("revisit", F.coalesce(who != F.col("who"), F.lit(False)))
+    out = ["page_id", "url", "who", "revisit", "payload"]
+    several = ~F.col("revisit") & (F.coalesce("alike", F.lit(1)) > 1)
+    # rows alike in all: a row for each task, and then as many as there are, of which one is the response
+    repeated = joined.where(several).groupBy("page_id", "url", "same").agg(F.count(F.lit(1)).alias("n"), F.first("who").alias("who"), F.first("payload").alias("payload"))
+    repeated = repeated.select("page_id", "url", "who", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("k"), "payload").withColumn("revisit", F.col("k") > 1)
+    rows = joined.where(~several).select(*out).unionByName(repeated.select(*out)) if alike > 1 else joined.select(*out)
+    rows = rows.select("page_id", "url", F.when(F.col("revisit"), F.col("who.page_id")).alias("first_id"), F.when(F.col("revisit"), F.col("who.url")).alias("first_url"), "revisit", "payload")
 
     def write(batches):
         pack = None
@@ -216,8 +232,16 @@ def archive_pages(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFra
     """Writes and indexes a record for each row, then reads every one back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null html is an empty payload; a null or malformed URL is a key like any other; a null page_id
-    comes last and gives null refers_to.  Rows alike in id and URL, with equal payloads, are all responses if theirs
-    comes first.  An empty table gives an empty result; extra columns are not read.
+    comes last and gives null refers_to.  Of rows alike in id, URL and html one can be the response, the others revisit it.
+    An empty table gives an empty result; extra columns are not read.  Fails if a row is not read back, or if what a revisit
+    says of its payload is not that of the response it names.
     """
     captures = write_archives(pages, least)
-    return lookup(build_index(captures), captures)
+    found = written(lookup(build_index(captures), captures), "records")
+    if (there := found.count()) != (written_ := captures.count()):
+        raise ValueError(f"{written_} records were written and {there} read back")
+    claims = found.where("record_type = 'revisit' and refers_to is not null").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    responses = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    if not claims.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").isEmpty():
+        raise ValueError("a revisit names a response with another payload")
+    return found
