@@ -1,25 +1,31 @@
 """Queries over small series with answers worked out by hand."""
 
 import math
+import random
 
 import pytest
 
 from tideglass import Engine, MemorySeries, ParserOptions, QueryError
 
 LOAD = """
-http{job="api",inst="0",group="prod"} 0+10x10
-http{job="api",inst="1",group="prod"} 0+20x10
-http{job="api",inst="0",group="canary"} 0+30x10
-http{job="app",inst="0",group="prod"} 0+50x10
-reset{pod="a"} 10 11 12 3 4 5 5
-odd{k="nan"} NaN NaN NaN NaN NaN NaN NaN
-odd{k="one"} 1 1 1 1 1 1 1
-odd{k="two"} 2 2 2 2 2 2 2
-gap{a="x"} 0 1 stale 2
-cap{job="api"} 100 100 100 100 100 100 100 100 100 100 100
-lat_bucket{le="0.1"} 0+2x10
-lat_bucket{le="0.2"} 0+6x10
-lat_bucket{le="+Inf"} 0+8x10
+jobs{team="red",node="n1",zone="east"} 3+7x10
+jobs{team="red",node="n2",zone="east"} 5+4x10
+jobs{team="red",node="n1",zone="west"} 0+2x10
+jobs{team="blue",node="n1",zone="east"} 1+9x10
+fall{pod="p"} 8 9 15 2 2 6 1
+mixed{k="none"} NaN NaN NaN NaN NaN NaN
+mixed{k="low"} 4 4 4 4 4 4
+mixed{k="high"} 10 10 10 10 10 10
+hole{a="x"} 7 1 stale 5
+quota{team="red"} 200x10
+size_bucket{le="1"} 0+3x10
+size_bucket{le="4"} 0+9x10
+size_bucket{le="+Inf"} 0+12x10
+twin_a{z="1"} 1+1x10
+twin_b{z="1"} 2+1x10
+huge{i="1"} 9e307 9e307 9e307
+huge{i="2"} 9e307 9e307 9e307
+huge{i="3"} 9e307 9e307 9e307
 """
 
 
@@ -51,20 +57,27 @@ def one(engine, query, t=300):
     ("query", "value"),
     [
         ("1 + 2 * 3", 7.0), ("-2 ^ 2", -4.0), ("2 ^ 3 ^ 2", 512.0), ("1 / 0", math.inf), ("-7 % 3", -1.0), ("1 > bool 2", 0.0), ("time()", 300.0), ("pi()", math.pi),
-        ("sum(http)", 550.0), ("count(http)", 4.0), ("avg(http)", 137.5), ("min(http)", 50.0), ("max(http)", 250.0), ("group(http)", 1.0),
-        ("max(odd)", 2.0), ("min(odd)", 1.0), ("quantile(0.5, http)", 125.0), ("stddev(odd{k!='nan'})", 0.5), ("stdvar(odd{k!='nan'})", 0.25),
-        ("scalar(cap)", 100.0), ("scalar(http)", math.nan), ("vector(3)", 3.0), ("absent(nothing{a='b'})", 1.0),
-        ("sum(rate(http{job='app'}[5m]))", 50 / 60), ("increase(http{job='app'}[5m])", 250.0), ("irate(http{job='app'}[5m])", 50 / 60), ("idelta(http{job='app'}[5m])", 50.0),
-        ("resets(reset[10m])", 1.0), ("changes(reset[10m])", 5.0), ("delta(http{job='app'}[5m])", 250.0), ("sum_over_time(reset[3m])", 12.0), ("avg_over_time(reset[3m])", 4.0),
-        ("count_over_time(reset[10m])", 6.0), ("max_over_time(reset[10m])", 12.0), ("min_over_time(reset[10m])", 3.0), ("last_over_time(reset[10m])", 5.0), ("first_over_time(reset[4m])", 12.0),
-        ("present_over_time(reset[1m])", 1.0), ("stdvar_over_time(reset[2m])", 0.25), ("quantile_over_time(0.5, reset[3m])", 4.0), ("mad_over_time(reset[3m])", 1.0),
-        ("deriv(http{job='app'}[5m])", 50 / 60), ("predict_linear(http{job='app'}[5m], 60)", 300.0), ("ts_of_max_over_time(reset[10m])", 120.0), ("ts_of_last_over_time(reset[10m])", 300.0),
-        ("sum_over_time(cap[3m:1m])", 300.0), ("max_over_time(sum(http)[5m:1m])", 550.0), ("sum(http offset 1m)", 440.0), ("sum(http @ 60)", 110.0), ("sum(http @ end())", 550.0),
-        ("histogram_quantile(0.5, lat_bucket)", 0.15), ("histogram_fraction(0, 0.1, lat_bucket)", 0.25), ("round(vector(2.5))", 3.0), ("round(vector(7), 5)", 5.0), ("clamp(cap, 0, 10)", 10.0),
-        ("clamp_min(cap, 200)", 200.0), ("ln(vector(0))", -math.inf), ("floor(vector(-1.5))", -2.0), ("ceil(vector(1.2))", 2.0), ("sgn(vector(-3))", -1.0), ("timestamp(cap)", 300.0),
-        ("hour(vector(7200))", 2.0), ("day_of_week(vector(0))", 4.0), ("days_in_month(vector(0))", 31.0), ("year()", 1970.0), ("cap / on(job) sum by (job) (http{job='api'})", 1 / 3),
-        ("count(topk(2, http))", 2.0), ("sum(bottomk(1, http))", 50.0), ("count(limitk(3, http))", 3.0), ("count(limit_ratio(0.4, http) or limit_ratio(-0.6, http))", 4.0),
-        ("increase(http{job='app'}[5m] anchored)", 250.0), ("rate(http{job='app'}[5m] smoothed)", 50 / 60), ("sum_over_time(reset[step()+3m])", 12.0),
+        ("sum(jobs)", 119.0), ("count(jobs)", 4.0), ("avg(jobs)", 29.75), ("min(jobs)", 10.0), ("max(jobs)", 46.0), ("group(jobs)", 1.0),
+        ("max(mixed)", 10.0), ("min(mixed)", 4.0), ("quantile(0.5, jobs)", 31.5), ("stddev(mixed{k!='none'})", 3.0), ("stdvar(mixed{k!='none'})", 9.0),
+        ("scalar(quota)", 200.0), ("scalar(jobs)", math.nan), ("vector(3)", 3.0), ("absent(nothing{a='b'})", 1.0),
+        ("sum(rate(jobs{team='blue'}[5m]))", 0.15), ("increase(jobs{team='blue'}[5m])", 45.0), ("irate(jobs{team='blue'}[5m])", 0.15), ("idelta(jobs{team='blue'}[5m])", 9.0),
+        ("resets(fall[10m])", 1.0), ("changes(fall[10m])", 4.0), ("delta(jobs{team='blue'}[5m])", 45.0), ("sum_over_time(fall[3m])", 10.0), ("avg_over_time(fall[3m])", 10 / 3),
+        ("count_over_time(fall[10m])", 6.0), ("max_over_time(fall[10m])", 15.0), ("min_over_time(fall[10m])", 2.0), ("last_over_time(fall[10m])", 6.0), ("first_over_time(fall[4m])", 15.0),
+        ("present_over_time(fall[1m])", 1.0), ("stdvar_over_time(fall[2m])", 4.0), ("quantile_over_time(0.5, fall[3m])", 2.0), ("mad_over_time(fall[2m])", 2.0),
+        ("deriv(jobs{team='blue'}[5m])", 0.15), ("predict_linear(jobs{team='blue'}[5m], 60)", 55.0), ("ts_of_max_over_time(fall[10m])", 120.0), ("ts_of_last_over_time(fall[10m])", 300.0),
+        ("ts_of_first_over_time(fall[10m])", 0.0), ("ts_of_min_over_time(fall[10m])", 240.0), ("1 / ts_of_min_over_time(fall[2m] @ 60)", math.inf),
+        ("sum_over_time(quota[3m:1m])", 600.0), ("max_over_time(sum(jobs)[5m:1m])", 119.0), ("sum(jobs offset 1m)", 97.0), ("sum(jobs @ 60)", 31.0), ("sum(jobs @ end())", 119.0), ("sum(jobs @ start() offset -1m)", 141.0),
+        ("histogram_quantile(0.5, size_bucket)", 2.5), ("histogram_fraction(0, 1, size_bucket)", 0.25), ("round(vector(2.5))", 3.0), ("round(vector(7), 5)", 5.0), ("clamp(quota, 0, 10)", 10.0),
+        ("clamp_min(quota, 300)", 300.0), ("ln(vector(0))", -math.inf), ("floor(vector(-1.5))", -2.0), ("ceil(vector(1.2))", 2.0), ("sgn(vector(-3))", -1.0), ("timestamp(quota)", 300.0),
+        ("hour(vector(7200))", 2.0), ("day_of_week(vector(0))", 4.0), ("days_in_month(vector(0))", 31.0), ("year()", 1970.0), ("quota / on(team) sum by (team) (jobs{team='red'})", 200 / 73),
+        # 400 Gregorian years are 146097 days: the same weekday and date, 400 years on, however far
+        ("year(vector(12622780800 * 1000))", 401970.0), ("day_of_week(vector(12622780800 * 1000 + 86400))", 5.0), ("year(vector(-12622780800 * 3))", 770.0), ("day_of_month(vector(1e300))", math.nan),
+        ("count(topk(2, jobs))", 2.0), ("sum(bottomk(1, jobs))", 10.0), ("count(limitk(3, jobs))", 3.0), ("count(limit_ratio(0.4, jobs) or limit_ratio(-0.6, jobs))", 4.0),
+        ("increase(jobs{team='blue'}[5m] anchored)", 45.0), ("rate(jobs{team='blue'}[5m] smoothed)", 0.15), ("sum_over_time(fall[step()+3m])", 10.0),
+        # sums beyond the doubles, means within
+        ("avg(huge @ 0)", 9e307), ("sum(huge @ 0)", math.inf), ("avg_over_time(huge{i='1'}[5m] @ 120)", 9e307), ("avg(-huge @ 0)", -9e307), ("avg(huge @ 0 * -1 or vector(1) / 0)", math.inf),
+        # level and trend 8, 1; after 9: 9, 1; 15: 12.5, 2.25; 2: 8.375, -0.9375; 2: 4.71875, -2.296875; 6: half of 6 and of 2.421875
+        ("double_exponential_smoothing(fall[10m], 0.5, 0.5)", 4.2109375),
     ],
 )
 def test_one_value(engine, query, value):
@@ -72,41 +85,162 @@ def test_one_value(engine, query, value):
     assert math.isnan(got) if math.isnan(value) else got == pytest.approx(value, rel=1e-9)
 
 
+def test_means_in_exact_mode(spark):
+    s = MemorySeries(LOAD, "1m")
+    assert one(Engine(spark, s, exact=True), "avg(huge @ 0)") == 9e307
+    assert one(Engine(spark, s, exact=True), "avg_over_time(huge{i='1'}[5m] @ 120)") == 9e307
+
+
 def test_labels_and_names(engine):
-    assert at(engine, "cap") == {(("__name__", "cap"), ("job", "api")): 100.0}
-    assert at(engine, "cap * 2") == {(("job", "api"),): 200.0}
-    assert at(engine, "cap > 50") == {(("__name__", "cap"), ("job", "api")): 100.0}
-    assert at(engine, "sum by (job) (http)") == {(("job", "api"),): 300.0, (("job", "app"),): 250.0}
-    assert at(engine, "sum without (inst, group) (http)") == {(("job", "api"),): 300.0, (("job", "app"),): 250.0}
-    assert at(engine, 'count_values("v", cap)') == {(("v", "100"),): 1.0}
-    assert at(engine, 'label_replace(cap, "x", "$1-y", "job", "a(.*)")') == {(("__name__", "cap"), ("job", "api"), ("x", "pi-y")): 100.0}
-    assert at(engine, 'label_join(cap, "x", "-", "job", "job")') == {(("__name__", "cap"), ("job", "api"), ("x", "api-api")): 100.0}
+    assert at(engine, "quota") == {(("__name__", "quota"), ("team", "red")): 200.0}
+    assert at(engine, "quota * 2") == {(("team", "red"),): 400.0}
+    assert at(engine, "quota > 50") == {(("__name__", "quota"), ("team", "red")): 200.0}
+    assert at(engine, "sum by (team) (jobs)") == {(("team", "red"),): 73.0, (("team", "blue"),): 46.0}
+    assert at(engine, "sum without (node, zone) (jobs)") == {(("team", "red"),): 73.0, (("team", "blue"),): 46.0}
+    assert at(engine, 'count_values("v", quota)') == {(("v", "200"),): 1.0}
+    assert at(engine, 'label_replace(quota, "x", "$1-y", "team", "r(.*)")') == {(("__name__", "quota"), ("team", "red"), ("x", "ed-y")): 200.0}
+    assert at(engine, 'label_join(quota, "x", "-", "team", "team")') == {(("__name__", "quota"), ("team", "red"), ("x", "red-red")): 200.0}
+    assert at(engine, 'histogram_quantiles(size_bucket, "q", 0.5, 0.99999999)') == pytest.approx({(("q", "0.5"),): 2.5, (("q", "0.99999999"),): 4.0})
 
 
 def test_matching(engine):
-    got = at(engine, "http / on(job) group_left cap")
-    assert len(got) == 3 and got[(("group", "prod"), ("inst", "0"), ("job", "api"))] == 0.5
-    assert len(at(engine, "http and on(job) cap")) == 3
-    assert len(at(engine, "http unless on(job) cap")) == 1
-    assert len(at(engine, "http or cap")) == 5
-    assert at(engine, "sum by (job) (http) + on(job) fill_right(0) cap") == {(("job", "api"),): 400.0, (("job", "app"),): 250.0}
+    got = at(engine, "jobs / on(team) group_left quota")
+    assert len(got) == 3 and got[(("node", "n1"), ("team", "red"), ("zone", "west"))] == 0.05
+    assert at(engine, "quota / on(team) group_right jobs{zone='west'}") == {(("node", "n1"), ("team", "red"), ("zone", "west")): 20.0}
+    assert at(engine, "jobs{zone='west'} / ignoring(node, zone) quota") == {(("team", "red"),): 0.05}
+    assert len(at(engine, "jobs and on(team) quota")) == 3
+    assert len(at(engine, "jobs unless on(team) quota")) == 1
+    assert len(at(engine, "jobs or quota")) == 5
+    assert at(engine, "sum by (team) (jobs) + on(team) fill_right(0) quota") == {(("team", "red"),): 273.0, (("team", "blue"),): 46.0}
     with pytest.raises(Exception, match="must be explicit"):
-        at(engine, "http / on(job) cap")
+        at(engine, "jobs / on(team) quota")
     with pytest.raises(Exception, match="same labelset"):
-        at(engine, 'abs({__name__=~"cap|http",job="api",group!="canary",inst!="1"}) or abs(label_replace(cap, "inst", "0", "", "")) or rate({__name__=~"http|reset"}[5m]) + 0 or label_replace(abs(http), "inst", "", "", "")')
+        at(engine, 'rate({__name__=~"twin_a|twin_b"}[5m])')
 
 
 def test_staleness_and_lookback(engine):
-    got = rows(engine.range_query("gap", 0, 600, 60))
+    got = rows(engine.range_query("hole", 0, 600, 60))
     assert [k[1] for k in sorted(got, key=lambda k: k[1])] == [0, 60, 180, 240, 300, 360, 420]
-    assert rows(engine.range_query("gap @ 60", 0, 120, 60)) == {((("__name__", "gap"), ("a", "x")), t): 1.0 for t in (0, 60, 120)}
+    assert rows(engine.range_query("hole @ 60", 0, 120, 60)) == {((("__name__", "hole"), ("a", "x")), t): 1.0 for t in (0, 60, 120)}
+
+
+def test_staleness_markers_in_tables(spark, tmp_path):
+    """A NaN with the marker's bits ends a series; another NaN is a sample."""
+    import struct
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from tideglass.sources.series import STALE_BITS, TableSeries
+
+    marker = struct.unpack(">d", int(STALE_BITS, 16).to_bytes(8, "big"))[0]
+    pq.write_table(pa.table({"t": [0, 60_000, 0, 60_000], "s": ["a", "a", "b", "b"], "v": [1.0, marker, 1.0, math.nan]}), f"{tmp_path}/t.parquet")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    e = Engine(spark, TableSeries("m", table, F.col("t"), F.col("v"), {"s": F.col("s")}, markers=True))
+    got = at(e, "m", 90)
+    assert list(got) == [(("__name__", "m"), ("s", "b"))] and math.isnan(got[(("__name__", "m"), ("s", "b"))])
+    assert len(at(e, "m", 30)) == 2 and len(at(e, "count_over_time(m[2m])", 60)) == 2
+    assert at(e, 'count_over_time(m{s="a"}[2m])', 60) == {(("s", "a"),): 1.0}
 
 
 def test_worked_rates(spark):
-    s = MemorySeries().add({"__name__": "x"}, list(zip(range(300_000, 600_001, 30_000), [10, 11, 12, 13, 14, 15, 16, 3, 4, 5, 6], strict=True)))
-    got = rows(Engine(spark, s).range_query("rate(x[5m])", 420, 600, 30))
-    want = [0.015, 0.0183333333, 0.0216666667, 0.0321428571, 0.0354166667, 0.0407407407, 0.0407407407]
-    assert [v for _, v in sorted(got.items(), key=lambda i: i[0][1])] == pytest.approx(want, abs=1e-9)
+    """A counter that falls from 9 to 2; gaps of 20 s, so an edge 22 s away or more would count as 10 s."""
+    s = MemorySeries().add({"__name__": "x"}, [(100_000, 4.0), (120_000, 9.0), (140_000, 2.0), (160_000, 6.0)])
+    got = rows(Engine(spark, s).range_query("rate(x[1m])", 140, 180, 20))
+    want = [
+        7 * (40 + 20 + 0) / 40 / 60,  # (80, 140]: 4 9 2, change 5 + 2; at 7 in 40 s it was 0 some 23 s before, so 20 s it is
+        6 * (40 + 20 + 0) / 40 / 60,  # (100, 160]: 9 2 6, change 2 + 4
+        4 * (20 + 10 + 20) / 20 / 60,  # (120, 180]: 2 6, change 4; 10 s before it was 0
+    ]
+    assert [v for _, v in sorted(got.items(), key=lambda i: i[0][1])] == pytest.approx(want, abs=1e-12)
+
+
+def brute_windows(samples, step, width):
+    return [(t, v) for t, v in samples if step - width < t <= step]
+
+
+@pytest.mark.parametrize("name", ["rate", "increase", "delta", "irate", "idelta", "changes", "resets"])
+@pytest.mark.parametrize(("width", "step"), [(60, 7), (300, 11), (20, 60)])
+def test_pairs_across_cells(spark, name, width, step):
+    """Functions of neighbours against plain loops over each window, dense and sparse grids."""
+    rng = random.Random(width + step)
+    series = {}
+    for k in "ab":
+        times = sorted(rng.sample(range(0, 900_000, 500), 90))
+        series[k] = [(t, float(rng.choice([0, 1, 2, 3, 5, math.nan]))) for t in times]
+    s = MemorySeries()
+    for k, samples in series.items():
+        s.add({"__name__": "x", "k": k}, samples)
+    got = rows(Engine(spark, s).range_query(f"{name}(x[{width}s])", 0, 900, step))
+
+    def value(w, at):
+        def lost(a, b):
+            return a if b < a else 0.0
+
+        if name in ("changes", "resets"):
+            hit = (lambda a, b: a != b and not (math.isnan(a) and math.isnan(b))) if name == "changes" else (lambda a, b: b < a)
+            return float(sum(hit(a, b) for (_, a), (_, b) in zip(w, w[1:], strict=False))) if w else None
+        if len(w) < 2:
+            return None
+        if name in ("irate", "idelta"):
+            (t0, a), (t1, b) = w[-2:]
+            change = b - a
+            return change if name == "idelta" else (b if b < a else change) / ((t1 - t0) / 1000)
+        change = w[-1][1] - w[0][1] + (sum(lost(a, b) for (_, a), (_, b) in zip(w, w[1:], strict=False)) if name != "delta" else 0.0)
+        span, near, far = (w[-1][0] - w[0][0]) / 1000, w[0][0] / 1000 - (at - width), at - w[-1][0] / 1000
+        gap = span / (len(w) - 1)
+        near, far = (gap / 2 if near >= 1.1 * gap else near), (gap / 2 if far >= 1.1 * gap else far)
+        if name != "delta" and change > 0 and w[0][1] >= 0:
+            near = min(near, span * w[0][1] / change)
+        return change * (span + near + far) / span / (width if name == "rate" else 1)
+
+    want = {}
+    for k, samples in series.items():
+        for at in range(0, 901, step):
+            if (v := value(brute_windows(samples, at * 1000, width * 1000), at)) is not None:
+                want[(("k", k),), at] = v
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert (math.isnan(got[k]) and math.isnan(v)) or got[k] == pytest.approx(v, rel=1e-9, abs=1e-12), k
+
+
+def test_double_exponential_smoothing(spark):
+    """Against the plain recursion over each window."""
+    rng = random.Random(2)
+    samples = [(i * 15_000, rng.uniform(0, 100)) for i in range(40)]
+    got = rows(Engine(spark, MemorySeries().add({"__name__": "x"}, samples), options=ParserOptions.everything()).range_query("double_exponential_smoothing(x[2m], 0.3, 0.7)", 0, 600, 30))
+    want = {}
+    for at_ in range(0, 601, 30):
+        w = [v for _, v in brute_windows(samples, at_ * 1000, 120_000)]
+        if len(w) > 1:
+            level, trend = w[0], w[1] - w[0]
+            for v in w[1:]:
+                new = 0.3 * v + 0.7 * (level + trend)
+                level, trend = new, 0.7 * (new - level) + 0.3 * trend
+            want[(), at_] = level
+    assert got == pytest.approx(want)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    """The time range and the labels of a query are filters of the files that it reads."""
+    import datetime
+
+    from tideglass.sources.tables import catalog
+
+    day = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k)
+    spark.createDataFrame([(i, day(i), i % 3, "click", 1.5, "") for i in range(20)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, day(i), 2.0, "1-URGENT", "O") for i in range(20)], "o_orderkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, day(i), 2.0, "R", "O") for i in range(20)], "l_orderkey long, l_shipdate timestamp, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = Engine(spark, catalog(spark, str(tmp_path)), "6h", ParserOptions.everything())
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    for query, column, labels in (("events_value{event_type=\"click\"}", "ts", "event_type"), ("rate(events_total[6h])", "ts", None), ("sum(order_totalprice)", "o_orderdate", None), ("sum(ship_quantity{flag=\"R\"})", "l_shipdate", "l_returnflag"), ("value_bucket", "ts", None)):
+        df = e.range_query(query, 1_704_500_000, 1_704_600_000, 3600)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = " ".join(x for x in plan.split("\n") if "PushedFilters" in x)
+        assert f"LessThanOrEqual({column}," in pushed and (labels is None or f"EqualTo({labels}," in pushed), pushed
+        assert query.startswith("rate(events_total") or f"GreaterThanOrEqual({column}," in pushed
+        assert "props" not in pushed.split("ReadSchema")[-1]
 
 
 def test_kahan(spark):
@@ -118,15 +252,25 @@ def test_kahan(spark):
 
 def test_kinds(engine):
     assert engine.instant_query('"text"', 0) == "text"
-    assert {(r.ts_ms, r.value) for r in engine.instant_query("reset[2m]", 300).collect()} == {(240_000, 4.0), (300_000, 5.0)}
+    assert {(r.ts_ms, r.value) for r in engine.instant_query("fall[2m]", 300).collect()} == {(240_000, 2.0), (300_000, 6.0)}
     with pytest.raises(QueryError, match="must be Scalar or instant Vector"):
-        engine.range_query("cap[5m]", 0, 60, 60)
-    order = [r.value for r in engine.instant_query("sort_desc(http)", 300).collect()]
-    assert order == sorted(order, reverse=True)
-    assert [r.inst for r in engine.instant_query('sort_by_label(http, "inst")', 300).collect()] == ["0", "0", "0", "1"]
+        engine.range_query("quota[5m]", 0, 60, 60)
+    assert [r.value for r in engine.instant_query("sort(jobs)", 300).collect()] == [10.0, 25.0, 38.0, 46.0]
+    assert [r.value for r in engine.instant_query("sort_desc(jobs)", 300).collect()] == [46.0, 38.0, 25.0, 10.0]
+    assert [r.node for r in engine.instant_query('sort_by_label(jobs, "node")', 300).collect()] == ["n1", "n1", "n1", "n2"]
+    assert [r.node for r in engine.instant_query('sort_by_label_desc(jobs, "node")', 300).collect()] == ["n2", "n1", "n1", "n1"]
+
+
+def test_histogram_only_syntax(engine):
+    """Parsed, and refused by name: there are no native histograms."""
+    from tideglass.errors import UnsupportedError
+
+    for query in ("jobs </ 3", "jobs >/ on(team) quota", "jobs{__ignore_histogram_buckets__}"):
+        with pytest.raises(UnsupportedError):
+            engine.instant_query(query, 300)
 
 
-@pytest.mark.parametrize("query", ["", "sum(", "x{", "1 > 2", "x[5m", "rate(x)", "foo(x)", "x and 1", '{a=""}', "x[0s]", "abs(x, 1)", "x + bool 1", "x offset", "sum(x) by", "topk(x)"])
+@pytest.mark.parametrize("query", ["", "sum(", "x{", "1 > 2", "x[5m", "rate(x)", "foo(x)", "x and 1", '{a=""}', "x[0s]", "abs(x, 1)", "x + bool 1", "x offset", "sum(x) by", "topk(x)", "1 </ 2", "x </", "x{y}"])
 def test_wrong_queries(engine, query):
     with pytest.raises(QueryError):
         engine.range_query(query, 0, 60, 60)
@@ -146,5 +290,5 @@ def test_layout_does_not_matter(spark, engine, parts):
 
     raw = MemorySeries(LOAD, "1m").select(spark, [], Hints(0, 10**9))
     other = Engine(spark, FrameSeries(raw.df.repartition(parts)), options=ParserOptions.everything())
-    for q in ("sum by (job) (rate(http[3m]))", "gap", "max_over_time(reset[4m])"):
+    for q in ("sum by (team) (rate(jobs[3m]))", "hole", "max_over_time(fall[4m])"):
         assert rows(other.range_query(q, 0, 600, 60)) == pytest.approx(rows(engine.range_query(q, 0, 600, 60)))

@@ -89,19 +89,25 @@ def round_to(a: Column, to: Column) -> Column:
     return div(floor(a * inverse + 0.5), inverse)
 
 
-def _date(part):
+#: Seconds of 400 years, after which days, months and weekdays come again.
+CYCLE = 146_097 * 86_400
+
+
+def _date(part, years: int = 0):
     def run(a: Column) -> Column:
-        good = ~F.isnan(a) & (F.abs(a) < 8.64e12)
-        t = F.timestamp_seconds(F.when(good, a).otherwise(0.0).cast("bigint"))
-        return F.when(good, part(t).cast("double")).otherwise(nan())
+        good = ~F.isnan(a) & (F.abs(a) < 2.0**63)
+        seconds = F.when(good, a).otherwise(0.0).cast("bigint")
+        inside = F.pmod(seconds, F.lit(CYCLE).cast("bigint"))
+        cycles = F.call_function("div", seconds - inside, F.lit(CYCLE).cast("bigint"))
+        return F.when(good, (part(F.timestamp_seconds(inside)) + cycles * years).cast("double")).otherwise(nan())
 
     return run
 
 
-#: Of seconds since 1970 in UTC (the session's time zone must be UTC); NaN beyond the calendar.
+#: Of whole seconds since 1970 in UTC (the session's time zone must be UTC), however far from today; NaN of what is no such number.
 DATES = {
     "minute": _date(F.minute), "hour": _date(F.hour), "day_of_week": _date(lambda t: F.dayofweek(t) - 1), "day_of_month": _date(F.dayofmonth),
-    "day_of_year": _date(F.dayofyear), "days_in_month": _date(lambda t: F.dayofmonth(F.last_day(t))), "month": _date(F.month), "year": _date(F.year),
+    "day_of_year": _date(F.dayofyear), "days_in_month": _date(lambda t: F.dayofmonth(F.last_day(t))), "month": _date(F.month), "year": _date(F.year, 400),
 }
 
 ELEMENTWISE = {
@@ -124,6 +130,20 @@ def kahan_sum(values: Column) -> Column:
     return F.aggregate(values, zero, add, lambda a: F.when(F.abs(a["s"]) == inf(), a["s"]).otherwise(a["s"] + a["c"]))
 
 
+#: Sums are taken of values by this power of two, too: exact, and finite for any number of finite doubles.
+SMALL = 2.0**-64
+
+
+def mean(total: Column, small: Column, n: Column) -> Column:
+    """total / n, or from `small` (the sum of the values times SMALL) where the sum itself is beyond the doubles."""
+    plain = ~F.isnan(total) & (F.abs(total) != inf())
+    return F.when(plain, total / n).otherwise(small / n / SMALL)
+
+
+def kahan_mean(values: Column) -> Column:
+    return mean(kahan_sum(values), kahan_sum(F.transform(values, lambda x: x * SMALL)), F.size(values))
+
+
 def max_number(v: Column) -> Column:
     """Aggregate: the greatest number; NaN only if there is nothing else."""
     return F.coalesce(F.max(F.when(~F.isnan(v), v)), nan())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..functions.mathx import kahan_sum, max_number, quantile
+from ..functions.mathx import SMALL, kahan_mean, kahan_sum, max_number, mean, quantile
 from ..model import METRIC_LABELS, NAME, Scalar, Vector, col, columns
 from .text import number_text
 
@@ -44,10 +44,10 @@ def aggregate(op: str, v: Vector, labels: tuple[str, ...] = (), without: bool =
     if exact and op in ("sum", "avg"):
         order = F.array_sort(F.collect_list(F.struct(*columns(v.labels), "value")))
         total = kahan_sum(F.transform(order, lambda x: x["value"]))
-        agg = total if op == "sum" else total / F.count(F.lit(1))
+        agg = total if op == "sum" else kahan_mean(F.transform(order, lambda x: x["value"]))
     else:
         agg = {
-            "sum": lambda: F.sum(value), "avg": lambda: F.avg(value), "count": lambda: F.count(F.lit(1)).cast("double"), "min": lambda: F.min(value),
+            "sum": lambda: F.sum(value), "avg": lambda: mean(F.sum(value), F.sum(value * SMALL), F.count(F.lit(1))), "count": lambda: F.count(F.lit(1)).cast("double"), "min": lambda: F.min(value),
             "max": lambda: max_number(value), "group": lambda: F.min(F.lit(1.0)), "stddev": lambda: F.stddev_pop(value), "stdvar": lambda: F.var_pop(value),
         }[op]()
     return Vector(df.groupBy(*by).agg(agg.alias("value"), drop.alias("drop_name")), keys, not keeps)

@@ -1,9 +1,9 @@
 """Functions of range vectors.
 
-Samples are dealt to the steps whose windows hold them and aggregated by series and step.  What a
-function needs from a neighbour (the sample before, for resets and changes) is one `lag` by series before
-that.  Functions that fold states first aggregate the samples that lie in the same windows, so a dense
-series is not multiplied by window / step.
+Functions that fold states first aggregate the samples that lie in the same windows (a cell), and deal the cells to the
+steps, so a dense series is not multiplied by window / step.  What a function needs from a neighbour (the sample before,
+for rates, resets and changes) is one `lag` by series before that; whether the pair across two cells counts is seen in
+the window.  Only what needs all values of a window (quantiles, regressions, smoothing) deals the samples themselves.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathx import inf, kahan_sum, max_number, nan, quantile
+from ..functions.mathx import SMALL, inf, kahan_mean, kahan_sum, max_number, mean, nan, quantile
 from ..model import Grid, Raw, Scalar, Vector, columns
 from .select import in_windows, series_window, window_start
 
@@ -32,12 +32,27 @@ def _last(x: str) -> Column:
     return F.max_by(x, "ts_ms")
 
 
-def _cells(raw: Raw, grid: Grid, width: int, offset: int, aggs: list[Column]) -> DataFrame:
-    """States of the samples that lie in the same windows, then dealt to the steps."""
-    first = F.greatest(grid.index(_ts() + offset), F.lit(0).cast("bigint"))
-    behind = F.least(grid.index(_ts() + (offset + width)), F.lit(grid.count).cast("bigint"))
+def _cell(ts: Column, grid: Grid, width: int, offset: int) -> tuple[Column, Column]:
+    """Numbers of the first and the last step whose windows hold a time."""
+    first = F.greatest(grid.index(ts + offset), F.lit(0).cast("bigint"))
+    return first, F.least(grid.index(ts + (offset + width)), F.lit(grid.count).cast("bigint")) - 1
+
+
+def _cells(raw: Raw, grid: Grid, width: int, offset: int, aggs: list[Column], paired: bool = False) -> DataFrame:
+    """States of the samples that lie in the same windows, then dealt to the steps.
+
+    paired: with the sample before (prev, prev_ts), and whether it is in the same cell (inner).
+    """
     keys = columns(raw.labels)
-    df = raw.df.where("not is_stale").withColumn("k0", first).withColumn("k1", behind - 1).where("k0 <= k1")
+    df = raw.df.where("not is_stale")
+    if paired:
+        w = series_window(raw)
+        df = df.withColumn("prev", F.lag("value").over(w)).withColumn("prev_ts", F.lag("ts_ms").over(w))
+    first, last = _cell(_ts(), grid, width, offset)
+    df = df.withColumn("k0", first).withColumn("k1", last).where("k0 <= k1")
+    if paired:
+        first, last = _cell(F.col("prev_ts"), grid, width, offset)
+        df = df.withColumn("inner", F.coalesce((first == F.col("k0")) & (last == F.col("k1")), F.lit(False)))
     df = df.groupBy(*keys, "k0", "k1").agg(*aggs)
     df = df.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("step_ms", F.col("k") * grid.step + grid.start)
     return df
@@ -50,7 +65,7 @@ def _merged(name: str) -> tuple[list[Column], Column]:
     """States of a cell, and the value of a window from its cells' states."""
     states, value = {
         "sum_over_time": ([F.sum(_v()).alias("s")], lambda: F.sum("s")),
-        "avg_over_time": ([F.sum(_v()).alias("s"), F.count(_v()).alias("n")], lambda: F.sum("s") / F.sum("n")),
+        "avg_over_time": ([F.sum(_v()).alias("s"), F.sum(_v() * SMALL).alias("small"), F.count(_v()).alias("n")], lambda: mean(F.sum("s"), F.sum("small"), F.sum("n"))),
         "count_over_time": ([F.count(_v()).alias("n")], lambda: F.sum("n").cast("double")),
         "min_over_time": ([F.min(_v()).alias("m")], lambda: F.min("m")),
         "max_over_time": ([max_number(_v()).alias("m")], lambda: max_number(F.col("m"))),
@@ -60,28 +75,41 @@ def _merged(name: str) -> tuple[list[Column], Column]:
         "ts_of_first_over_time": ([F.min(_ts()).alias("t")], lambda: F.min("t") / 1000.0),
         "ts_of_last_over_time": ([F.max(_ts()).alias("t")], lambda: F.max("t") / 1000.0),
         "ts_of_max_over_time": ([F.max(F.struct(~F.isnan(_v()), _v().alias("value"), _ts().alias("t"))).alias("x")], lambda: F.max("x")["t"] / 1000.0),
-        "ts_of_min_over_time": ([F.min(F.struct(_v().alias("value"), (-_ts()).alias("t"))).alias("x")], lambda: F.min("x")["t"] / -1000.0),
+        "ts_of_min_over_time": ([F.min(F.struct(_v().alias("value"), (-_ts()).alias("t"))).alias("x")], lambda: -F.min("x")["t"] / 1000.0),
     }[name]
     return states, value()
 
 
-def _before() -> Column:
-    """Whether the sample before is in the window, too."""
-    return F.col("prev_ts") > F.col("wstart")
+def _reset() -> Column:
+    return (_v() < F.col("prev")) & ~F.isnan("prev") & ~F.isnan(_v())
+
 
+def _change() -> Column:
+    return (_v() != F.col("prev")) & ~(F.isnan(_v()) & F.isnan("prev"))
 
-def _reset() -> Column:
-    return _before() & (_v() < F.col("prev")) & ~F.isnan("prev") & ~F.isnan(_v())
+
+def _over_pairs(amount: Column) -> list[Column]:
+    """States of a sum over pairs of neighbours: within the cell, and the one pair that begins before it, with its time."""
+    first = F.when(~F.col("inner") & F.col("prev_ts").isNotNull(), F.coalesce(amount, F.lit(0.0)))
+    return [F.sum(F.when(F.col("inner"), F.coalesce(amount, F.lit(0.0))).otherwise(0.0)).alias("within"), F.max(first).alias("across"), F.min(F.when(first.isNotNull(), F.col("prev_ts"))).alias("across_ts")]
+
+
+def _pairs_sum() -> Column:
+    """The sum over the pairs that lie in a window."""
+    return F.sum("within") + F.sum(F.when(F.col("across_ts") > F.col("wstart"), F.col("across")).otherwise(0.0))
 
 
-def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Column], Column]:
+def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Column], list[Column], Column]:
     """Rate of change between the first and the last sample, carried on towards the window's edges.
 
-    An edge further away than 1.1 average gaps counts as half a gap; a counter is not carried below zero.
+    Fixed values of the language: an edge 1.1 average gaps away or further counts as half a gap, and a counter is not
+    carried below zero.
     """
-    aggs = [F.count(_v()).alias("n"), F.min(_ts()).alias("t0"), F.max(_ts()).alias("tn"), F.min_by("value", "ts_ms").alias("v0"), _last("value").alias("vn"), F.first("wstart").alias("ws")]
+    states = [F.count(_v()).alias("n"), F.min(_ts()).alias("t0"), F.max(_ts()).alias("tn"), F.min_by("value", "ts_ms").alias("v0"), _last("value").alias("vn")]
+    merged = [F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("vn", "tn").alias("vn"), F.min("t0").alias("t0"), F.max("tn").alias("tn"), F.first("wstart").alias("ws")]
     if counter:
-        aggs.append(F.sum(F.when(_reset(), F.col("prev")).otherwise(0.0)).alias("lost"))
+        states += _over_pairs(F.when(_reset(), F.col("prev")))
+        merged.append(_pairs_sum().alias("lost"))
     change = F.col("vn") - F.col("v0") + (F.col("lost") if counter else 0.0)
     to_start, to_end = (F.col("t0") - F.col("ws")) / 1000.0, (F.col("ws") + width - F.col("tn")) / 1000.0
     span = (F.col("tn") - F.col("t0")) / 1000.0
@@ -94,23 +122,32 @@ def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Col
     factor = F.when(span != 0, (span + near + far) / F.when(span != 0, span).otherwise(1.0)).otherwise(1.0)
     if per_second:
         factor = factor / (width / 1000.0)
-    return aggs, F.when(F.col("n") > 1, change * factor)
+    return states, merged, F.when(F.col("n") > 1, change * factor)
 
 
-def _instant(per_second: bool) -> tuple[list[Column], Column]:
+def _instant(per_second: bool) -> tuple[list[Column], list[Column], Column]:
     """From the last two samples."""
-    last = F.max_by(F.struct("value", "prev", "ts_ms", "prev_ts", _before().alias("two")), "ts_ms").alias("x")
+    states = [F.max_by(F.struct("value", "prev", "ts_ms", "prev_ts"), "ts_ms").alias("last"), F.max(_ts()).alias("tn")]
+    merged = [F.max_by("last", "tn").alias("x"), F.first("wstart").alias("ws")]
     x = F.col("x")
+    two = x["prev_ts"] > F.col("ws")
     change = x["value"] - x["prev"]
     if not per_second:
-        return [last], F.when(x["two"], change)
+        return states, merged, F.when(two, change)
     change = F.when((x["value"] < x["prev"]) & ~F.isnan(x["prev"]) & ~F.isnan(x["value"]), x["value"]).otherwise(change)
     gap = (x["ts_ms"] - x["prev_ts"]) / 1000.0
-    return [last], F.when(x["two"] & (gap != 0), change / F.when(gap != 0, gap).otherwise(1.0))
+    return states, merged, F.when(two & (gap != 0), change / F.when(gap != 0, gap).otherwise(1.0))
 
 
-def _pairs(counts: Column) -> tuple[list[Column], Column]:
-    return [F.sum(F.when(_before() & counts, 1).otherwise(0)).alias("n")], F.col("n").cast("double")
+PAIRED = {
+    "rate": lambda width: _extrapolated(True, True, width),
+    "increase": lambda width: _extrapolated(True, False, width),
+    "delta": lambda width: _extrapolated(False, False, width),
+    "irate": lambda width: _instant(True),
+    "idelta": lambda width: _instant(False),
+    "changes": lambda width: (_over_pairs(F.when(_change(), 1.0)), [_pairs_sum().alias("n")], F.col("n")),
+    "resets": lambda width: (_over_pairs(F.when(_reset(), 1.0)), [_pairs_sum().alias("n")], F.col("n")),
+}
 
 
 def _regression(at: str) -> tuple[list[Column], dict[str, Column]]:
@@ -151,23 +188,16 @@ def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args:
         states, value = _merged(name)
         return finish(_cells(raw, grid, width, offset, states).groupBy(*keys).agg(value.alias("out")), F.col("out"))
 
+    if name in PAIRED:
+        states, merged, value = PAIRED[name](width)
+        cells = _cells(raw, grid, width, offset, states, name not in ("delta",)).withColumn("wstart", window_start(width, offset))
+        return finish(cells.groupBy(*keys).agg(*merged), value)
+
     df = raw.df.where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
-    paired = name in ("rate", "increase", "delta", "irate", "idelta", "changes", "resets")
-    if paired:
-        w = series_window(raw)
-        df = df.withColumn("prev", F.lag("value").over(w)).withColumn("prev_ts", F.lag("ts_ms").over(w))
-    df = in_windows(df, raw.labels, grid, width, offset, ["value", *(["prev", "prev_ts"] if paired else [])])
+    df = in_windows(df, raw.labels, grid, width, offset, ["value"])
     df = df.withColumn("wstart", window_start(width, offset))
     groups = df.groupBy(*keys)
-    if name in ("rate", "increase", "delta"):
-        aggs, value = _extrapolated(name != "delta", name == "rate", width)
-    elif name in ("irate", "idelta"):
-        aggs, value = _instant(name == "irate")
-    elif name == "changes":
-        aggs, value = _pairs((_v() != F.col("prev")) & ~(F.isnan(_v()) & F.isnan("prev")))
-    elif name == "resets":
-        aggs, value = _pairs((_v() < F.col("prev")) & ~F.isnan("prev") & ~F.isnan(_v()))
-    elif name in ("stddev_over_time", "stdvar_over_time"):
+    if name in ("stddev_over_time", "stdvar_over_time"):
         aggs, value = [(F.stddev_pop if name.startswith("stddev") else F.var_pop)(_v()).alias("x")], F.col("x")
     elif name == "deriv":
         aggs, lines = _regression("wstart")
@@ -188,7 +218,7 @@ def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args:
         value = F.when(bad, F.raise_error(F.lit("invalid smoothing or trend factor: expected a number between 0 and 1")).cast("double")).when(F.size("vs") > 1, _smoothed(F.col("vs"), args[0].expr, args[1].expr))
         return finish(df2, value)
     elif name in ("sum_over_time", "avg_over_time"):
-        aggs, value = [_ordered_values().alias("vs")], kahan_sum(F.col("vs")) / (F.size("vs") if name[0] == "a" else 1)
+        aggs, value = [_ordered_values().alias("vs")], kahan_mean(F.col("vs")) if name[0] == "a" else kahan_sum(F.col("vs"))
     else:
         raise KeyError(name)
     return finish(groups.agg(*aggs), value)

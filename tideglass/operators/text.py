@@ -15,6 +15,13 @@ def number_text(v: Column) -> Column:
     return F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").when(whole, plain).otherwise(F.regexp_replace(v.cast("string"), "E", "e"))
 
 
+def shortest(x: float) -> str:
+    """The shortest decimal text of a number, without exponent."""
+    import numpy as np
+
+    return {"nan": "NaN", "inf": "+Inf", "-inf": "-Inf"}.get(str(x)) or np.format_float_positional(x, trim="-")
+
+
 def label_order(v: Vector) -> Column:
     """Orders label sets by name and value of the labels that are there, in order of names."""
     parts = [F.when(F.col(col(x)) != "", F.concat(F.lit(x + "\0\0"), F.col(col(x)), F.lit("\0\0"))).otherwise("") for x in v.labels]

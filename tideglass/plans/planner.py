@@ -16,7 +16,7 @@ from ..model import LOOKBACK, NAME, Grid, Raw, Scalar, Vector, col, columns
 from ..operators import aggregate, binary, labels, rangefn, select, text
 from ..sources.series import Hints, SeriesSource
 from .check import type_of
-from .syntax import SCALAR, SETS, Aggregate, Binary, Call, Duration, Matcher, Matrix, Number, Paren, Selector, String, Subquery, Unary, unwrap
+from .syntax import SCALAR, SETS, TRIMS, Aggregate, Binary, Call, Duration, Matcher, Matrix, Number, Paren, Selector, String, Subquery, Unary, unwrap
 
 NATIVE_HISTOGRAMS = {"histogram_avg", "histogram_count", "histogram_sum", "histogram_stddev", "histogram_stdvar"}
 
@@ -128,6 +128,8 @@ class Planner:
 
     def binary(self, e: Binary) -> Vector:
         left, right = type_of(e.lhs) == SCALAR, type_of(e.rhs) == SCALAR
+        if e.op in TRIMS:
+            raise UnsupportedError(f'the operator "{e.op}" of native histograms')
         plain = replace(self, hint=("", ()))
         if left or right:
             v, s = plain.vector(e.rhs if left else e.lhs), plain.scalar(e.lhs if left else e.rhs)
@@ -137,6 +139,8 @@ class Planner:
 
     def raw(self, s: Selector, width: int, offset: int, func: str = "", after: int = 0) -> Raw:
         """Samples that any window of the grid can hold."""
+        if s.ignore_buckets:
+            raise UnsupportedError("the __ignore_histogram_buckets__ modifier")
         hints = Hints(self.grid.start - offset - width + 1, self.grid.end - offset + after, self.grid.step, width, func or self.hint[0], self.hint[1])
         return self.source.select(self.spark, s.matchers, hints)
 
@@ -295,7 +299,7 @@ class Planner:
             phi = self.scalar(a)
             q = labels.quantile(phi, v)
             shown = phi.constant if phi.constant is not None else float("nan")
-            one = labels._set(q, label, F.lit(f"{shown:g}"))
+            one = labels._set(q, label, F.lit(text.shortest(shown)))
             out = one if out is None else out.with_df(out.df.unionByName(one.df))
         return out
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 SCALAR, VECTOR, MATRIX, STRING = "scalar", "instant vector", "range vector", "string"
 COMPARISONS = ("==", "!=", "<", ">", "<=", ">=")
 SETS = ("and", "or", "unless")
+#: Of native histograms: what is above or below a value goes.
+TRIMS = ("</", ">/")
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class Selector:
     offset: int | Duration = 0
     at: int | str | None = None  # ms, "start" or "end"
     mode: str = ""  # anchored or smoothed
+    ignore_buckets: bool = False
 
 
 @dataclass

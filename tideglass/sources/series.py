@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -67,15 +68,18 @@ class TableSeries:
     """
 
     name: str
-    df: DataFrame
+    #: The table, or a function from a range in ms (start and end, inclusive) to it, for tables that are grouped from a larger one.
+    df: DataFrame | Callable[[int, int], DataFrame]
     ts_ms: Column
     value: Column
     labels: dict[str, Column]
     #: A filter on the table's own time column for a range in ms, so that the scan can skip row groups.
     prune: object = None
+    #: Whether NaNs of the table may be staleness markers (by their bits).
+    markers: bool = False
 
     def select(self, spark: SparkSession, matchers: list[Matcher], hints: Hints) -> Raw:
-        df = self.df
+        df = self.df(hints.start, hints.end) if callable(self.df) else self.df
         if self.prune is not None:
             df = df.where(self.prune(hints.start, hints.end))
         names = tuple(sorted([*self.labels, NAME]))
@@ -90,9 +94,10 @@ class TableSeries:
             elif not accepts_text(m, ""):
                 df = df.limit(0)
         out = [F.lit(self.name).alias(col(NAME)) if n == NAME else F.coalesce(self.labels[n].cast("string"), F.lit("")).alias(col(n)) for n in names]
-        value = self.value.cast("double")
-        df = df.select(*out, self.ts_ms.cast("bigint").alias("ts_ms"), value.alias("value"), F.lit(False).alias("is_stale"))
-        return Raw(df.where(F.col("ts_ms").between(hints.start, hints.end) & F.col("value").isNotNull()), names, True)
+        df = df.select(*out, self.ts_ms.cast("bigint").alias("ts_ms"), self.value.cast("double").alias("value"))
+        df = df.where(F.col("ts_ms").between(hints.start, hints.end) & F.col("value").isNotNull())
+        stale = F.when(F.isnan("value"), is_stale("value")).otherwise(F.lit(False)) if self.markers else F.lit(False)
+        return Raw(df.withColumn("is_stale", stale), names, True)
 
 
 @dataclass
@@ -167,9 +172,10 @@ def is_stale(value: str) -> Column:
 class FrameSeries:
     """A raw frame as a source: label columns lbl_*, ts_ms, value and is_stale (optional)."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, markers: bool = False):
         self.names = tuple(sorted(c[len("lbl_") :] for c in df.columns if c.startswith("lbl_")))
-        self.df = df if "is_stale" in df.columns else df.withColumn("is_stale", F.lit(False))
+        stale = F.when(F.isnan("value"), is_stale("value")).otherwise(F.lit(False)) if markers else F.lit(False)
+        self.df = df if "is_stale" in df.columns else df.withColumn("is_stale", stale)
 
     def select(self, spark: SparkSession, matchers: list[Matcher], hints: Hints) -> Raw:
         df = self.df.where(F.col("ts_ms").between(hints.start, hints.end))

@@ -12,12 +12,16 @@ def _millis(column: str):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-def _between(column: str):
-    """A filter on a timestamp column that the scan can use; a second wider on both sides, as it only spares work."""
+def _between(column: str, before: int | None = 0, after: int = 0):
+    """A filter on a timestamp column that the scan can use; a second wider on both sides, as it only spares work.
+
+    before and after widen it further, in ms; before=None: no lower bound.
+    """
 
     def prune(start: int, end: int):
-        kind = "timestamp"
-        return (F.col(column).cast(kind) >= F.timestamp_millis(F.lit(start - 1000))) & (F.col(column).cast(kind) <= F.timestamp_millis(F.lit(end + 1000)))
+        t = F.col(column).cast("timestamp")
+        upper = t <= F.timestamp_millis(F.lit(end + 1000 + after))
+        return upper if before is None else (t >= F.timestamp_millis(F.lit(start - 1000 - before))) & upper
 
     return prune
 
@@ -30,21 +34,34 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     events = table("events")
     labels = {"event_type": F.col("event_type"), "user_id": F.col("user_id")}
-    running = events.withColumn("n", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")))
+
+    def running(start: int, end: int) -> DataFrame:  # counts all that came before, so only the end binds
+        seen = events.where(_between("ts", None)(start, end))
+        return seen.withColumn("n", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")))
+
     orders = table("orders").groupBy("o_orderpriority", "o_orderstatus", "o_orderdate").agg(F.sum("o_totalprice").alias("v"))
     lines = table("lineitem").groupBy("l_returnflag", "l_linestatus", "l_shipdate").agg(F.sum("l_quantity").alias("v"))
     hour = F.floor(_millis("ts") / 3_600_000) * 3_600_000
     bounds = ("10", "50", "100", "200", "+Inf")
-    buckets = events.select(hour.alias("h"), "event_type", F.explode(F.array(*(F.struct(F.lit(b).alias("le"), (F.lit(True) if b == "+Inf" else F.col("value") <= float(b)).alias("hit")) for b in bounds))).alias("e"))
-    buckets = buckets.groupBy("event_type", F.col("e.le").alias("le"), "h").agg(F.sum(F.col("e.hit").cast("int")).cast("double").alias("v"))
-    info = events.groupBy("event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.lit(1.0).alias("v"))
+
+    def bucket_counts(start: int, end: int) -> DataFrame:  # whole hours
+        return counted(events.where(_between("ts", 0, 3_600_000)(start, end)))
+
+    def counted(events: DataFrame) -> DataFrame:
+        buckets = events.select(hour.alias("h"), "event_type", F.explode(F.array(*(F.struct(F.lit(b).alias("le"), (F.lit(True) if b == "+Inf" else F.col("value") <= float(b)).alias("hit")) for b in bounds))).alias("e"))
+        return buckets.groupBy("event_type", F.col("e.le").alias("le"), "h").agg(F.sum(F.col("e.hit").cast("int")).cast("double").alias("v"))
+
+    def info(start: int, end: int) -> DataFrame:  # whole days
+        seen = events.where(_between("ts", 0, 86_400_000)(start, end))
+        return seen.groupBy("event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.lit(1.0).alias("v"))
+
     return Catalog(
         {
             "events_value": TableSeries("events_value", events, _millis("ts"), F.col("value"), labels, _between("ts")),
             "events_total": TableSeries("events_total", running, _millis("ts"), F.col("n"), labels),
-            "order_totalprice": TableSeries("order_totalprice", orders, _millis("o_orderdate"), F.col("v"), {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}),
-            "ship_quantity": TableSeries("ship_quantity", lines, _millis("l_shipdate"), F.col("v"), {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus")}),
-            "value_bucket": TableSeries("value_bucket", buckets, F.col("h"), F.col("v"), {"event_type": F.col("event_type"), "le": F.col("le")}),
+            "order_totalprice": TableSeries("order_totalprice", orders, _millis("o_orderdate"), F.col("v"), {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, _between("o_orderdate")),
+            "ship_quantity": TableSeries("ship_quantity", lines, _millis("l_shipdate"), F.col("v"), {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus")}, _between("l_shipdate")),
+            "value_bucket": TableSeries("value_bucket", bucket_counts, F.col("h"), F.col("v"), {"event_type": F.col("event_type"), "le": F.col("le")}),
             "event_info": TableSeries("event_info", info, F.unix_millis("day"), F.col("v"), {"event_type": F.col("event_type"), "kind": F.substring("event_type", 1, 1)}),
         }
     )
