@@ -172,6 +172,65 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def quality_truth(rs):
+    """Both distances and the verdict of (id, text, lang) rows, from dictionaries."""
+    import regex
+
+    classes = [regex.compile(c) for c in quality.CLASSES]
+    own = {}
+    for k, (_, text, lang) in enumerate(rs):
+        text, lang = text or "", lang if lang in quality.COMMON_WORDS else ""
+        w = WORD.findall(text)
+        chars = [len(c.findall(text)) for c in classes]
+        listed = quality.COMMON_WORDS[lang or "en"]
+        counts = collections.Counter(x.lower() for x in w)
+        words_ = [counts[x] for x in listed]
+        windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        own[k] = lang, w, [*chars, len(text) - sum(chars)], words_, covered, len(text)
+
+    def jsd(p, q):
+        p, q = [x / (sum(p) or 1) for x in p], [x / (sum(q) or 1) for x in q]
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x > 0)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+    out = []
+    for k, (i, _, _) in enumerate(rs):
+        lang, w, chars, words_, covered, n = own[k]
+        same = [o for o in own.values() if o[0] == lang or not lang]
+        class_distance = jsd(chars, [sum(o[2][j] for o in same) for j in range(len(chars))]) if n >= quality.LEAST_CHARS else None
+        word_distance, few = None, False
+        if len(w) >= quality.LEAST_WORDS and lang:
+            reference = [sum(o[3][j] for o in same) for j in range(20)]
+            if sum(words_) >= quality.LEAST_COMMON:
+                word_distance = jsd(words_, reference)
+            few = sum(words_) < quality.LEAST_COMMON_SHARE * len(w) * sum(reference) / sum(len(o[1]) for o in same)
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        odd = (class_distance or 0) > quality.MOST_CLASS_DISTANCE or (word_distance or 0) > quality.MOST_WORD_DISTANCE or few
+        out.append((i, failed, not failed and not odd, class_distance, word_distance))
+    return out
+
+
+def test_quality_distances_and_verdicts(spark):
+    rng = random.Random(41)
+
+    def text(lang, n, share=0.25):
+        return " ".join(rng.choice(quality.COMMON_WORDS[lang]).title() if rng.random() < share else "".join(rng.choices("etaoinshrdluÉñß", k=rng.randint(2, 9))) + rng.choice(["", "", ".", ",", "7", " €"]) for _ in range(n))
+
+    rs = [(i, text(rng.choice(list(quality.COMMON_WORDS)), rng.choice([30, 80, 300])), rng.choice(list(quality.COMMON_WORDS))) for i in range(40)]
+    rs = [(i, t, next(iter(quality.COMMON_WORDS)) if i % 3 else lang) for i, t, lang in rs]
+    rs += [(50, text("en", 90) + " " + "% $ # " * 400, "en"), (51, text("de", 200), "xx"), (52, text("fr", 200), None), (53, None, "en"), (54, "", None), (55, "one two three four five " * 30, "en"), (56, text("en", 200, 0.0), "en"), (57, "by " * 100 + text("en", 200, 0.0), "en"), (None, text("es", 100), "es"), (58, "a b c d e a b c d x a b c d e y z u v w q r s t", "en")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rs, "doc_id long, text string, lang string").repartition(3)).collect()}
+    want = quality_truth(rs)
+    assert len(got) == len(want)
+    for i, failed, kept, class_distance, word_distance in want:
+        assert (got[i].base_failed, got[i].kept) == (failed, kept), i
+        assert got[i].class_distance == (None if class_distance is None else pytest.approx(class_distance, abs=1e-7))
+        assert got[i].word_distance == (None if word_distance is None else pytest.approx(word_distance, abs=1e-7))
+    assert {x for _, _, x, _, _ in want} == {True, False} and sum(w is not None for *_, w in want) > 5
+
+
 def test_quality_finds_odd_histograms(spark):
     rng = random.Random(2)
     clean = [(i, " ".join(rng.choice(["the", "of", "and", "anding", "theory", "to", "instance", "rewhing."]) + rng.choice(["", "x", "yz"]) for _ in range(300)), "en") for i in range(40)]

@@ -22,6 +22,7 @@ COMMON_WORDS = {
 }
 #: Character classes by Java regex; what is in none of them is the last class.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[#*$%&|<>]")
+SPACE_CLASS = 3
 LEAST_CHARS, LEAST_WORDS = 200, 50
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.2, 0.75
 #: Common words are compared among themselves from so many on; their share of all words must be over so much of the language's share.
@@ -33,6 +34,20 @@ def _count(column: str, pattern: str) -> Column:
     return F.regexp_count(column, F.lit(pattern)).cast("bigint")
 
 
+def _next(hashes: str, more: str, places: int) -> Column:
+    """Hashes of runs of words joined with those of the runs that begin `places` words on: longer runs by one hash each."""
+    return F.zip_with(hashes, F.slice(more, places + 1, F.greatest(F.size(more) - places, F.lit(0))), lambda x, y: F.when(y.isNotNull(), x.bitwiseXOR(F.shiftleft(y, places))))
+
+
+def _windows(d: DataFrame) -> DataFrame:
+    """windows: 64-bit hashes of all windows of five words, null unless some window of four occurs twice; a hash is an exclusive or of shifted hashes of the words."""
+    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    d = d.withColumn("two", _next("hashes", "hashes", 1))
+    d = d.withColumn("four", F.slice(_next("two", "two", 2), 1, F.greatest(F.size("words") - 3, F.lit(0))))
+    again = F.size(F.array_distinct("four")) < F.size("four")
+    return d.withColumn("windows", F.when(again, F.slice(_next("four", "hashes", WINDOW - 1), 1, F.greatest(F.size("words") - WINDOW + 1, F.lit(0)))))
+
+
 def _repeated() -> tuple[Column, Column]:
     """Words in windows of five that occur twice or more; windows are compared by 64-bit hash."""
     # only texts with fewer distinct hashes than windows are looked at further
@@ -50,24 +65,31 @@ def _repeated() -> tuple[Column, Column]:
     return order, covered
 
 
+def _classes(d: DataFrame) -> DataFrame:
+    """classes: characters of each class.  The classes have no character in common, so what the most frequent one holds is taken out run by run before the others are counted."""
+    d = d.withColumn("no_lower", F.regexp_replace("text", f"{CLASSES[0]}+", "")).withColumn("rest", F.regexp_replace("no_lower", f"{CLASSES[SPACE_CLASS]}+", ""))
+    counts = [_count("rest", c) for c in CLASSES]
+    counts[0] = (F.length("text") - F.length("no_lower")).cast("bigint")
+    counts[SPACE_CLASS] = (F.length("no_lower") - F.length("rest")).cast("bigint")
+    return d.withColumn("classes", F.array(*counts))
+
+
 def base_columns(docs: DataFrame) -> DataFrame:
     """The counts of each text; words are runs of characters other than 0x20 and 0x09-0x0D."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     d = docs.select("doc_id", "lang", text.alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).withColumn("lines", lines)
-    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("windows", windows)
+    d = _classes(_windows(d))
     order, covered = _repeated()
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     d = d.withColumn("sorted", F.when(repeats, order)).withColumn("repeated", F.when(F.col("sorted").isNotNull(), covered).otherwise(F.lit(0)).cast("bigint"))
     every = sorted(set().union(*COMMON_WORDS.values()))
-    common = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*every))
-    classes = [_count("text", c) for c in CLASSES]
+    common = F.transform(F.filter("words", lambda w: F.lower(w).isin(*every)), lambda w: F.lower(w))
     return d.select(
         "doc_id", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("").alias("lang"),
         F.size("words").cast("bigint").alias("n_words"),
         F.length("text").cast("bigint").alias("n_chars"),
-        F.array(*classes).alias("classes"),
+        "classes",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.col("repeated").alias("n_repeat_words"),
         common.alias("common"),
@@ -144,7 +166,11 @@ def _histograms(d: DataFrame) -> DataFrame:
     size = max(map(len, COMMON_WORDS.values()))
     lists = F.create_map(*(x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))))
     d = d.withColumn("own", F.coalesce(F.element_at(lists, F.when(F.col("lang") != "", F.col("lang")).otherwise("en")), F.array().cast("array<string>")))
-    words = F.transform("own", lambda w: F.size(F.filter("common", lambda x: x == w)).cast("bigint"))
+    # each common word as one letter of a text, whose letters are then counted
+    letters = "".join(chr(ord("A") + i) for i in range(size))
+    spelled = F.array_join(F.transform("common", lambda w: F.substring(F.lit("@" + letters), F.array_position("own", w).cast("int") + 1, F.lit(1))), "")
+    d = d.withColumn("spelled", spelled)
+    words = F.slice(F.array(*((F.length("spelled") - F.length(F.replace("spelled", F.lit(x), F.lit("")))).cast("bigint") for x in letters)), 1, F.size("own"))
     known = F.aggregate("classes", F.lit(0).cast("bigint"), lambda s, x: s + x)
     d = d.withColumn("found", words)
     rest = F.col("n_words") - F.aggregate("found", F.lit(0).cast("bigint"), lambda s, x: s + x)
