@@ -65,6 +65,19 @@ def test_bpe(docs, none):
     assert bpe.codec(RANKS, public_tokenizers.PATTERN).encode(["q" * 5000])[0] == np.array(enc.encode_ordinary("q" * 5000), "<u4").tobytes()
 
 
+def test_bpe_merges_alike_on_matrix_and_heap():
+    """The two ways of merging give the library's ids on random pieces of all lengths around the switch."""
+    c = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=c.ranks, special_tokens={})
+    rng = random.Random(17)
+    alphabets = ["ab", "aeinrst", "etaoinshrdlucmfw", " \n\t", "éàü日本", "0123456789"]
+    pieces = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([2, 3, 7, 16, 17, 40, 200, bpe.LONG - 1, bpe.LONG, bpe.LONG + 1]))).encode() for _ in range(120)]
+    want = [np.array(enc.encode_ordinary(p.decode()), "<u4").tobytes() for p in pieces]
+    assert [c._heap(p) for p in pieces] == want
+    assert c.encode_pieces(pieces) == want
+    assert [c._matrix([p])[0] for p in pieces[:60]] == want[:60]
+
+
 def test_wordpiece(docs, none):
     a = wordpiece.automaton(RANKS)
     with open(RANKS, "rb") as f:
@@ -93,7 +106,11 @@ def test_wordpiece(docs, none):
             w = bytes(rng.choices(b"abc", k=rng.randint(1, 9)))
             g = greedy(w, f, s)
             assert auto.count(w) == (wordpiece.UNKNOWN + 1 if g is None else g), (f, s, w)
-    assert wordpiece.count_tokens(docs, RANKS).count() == len(rows())
+    want = collections.Counter()
+    for r in rows():
+        found = [greedy(w, first, rest) for w in (r[1] or "").encode().split()]
+        want[r[0], len((r[1] or "").encode()), len(found), sum(1 if g is None else g for g in found), sum(g is None for g in found)] += 1
+    assert collections.Counter(tuple(x) for x in wordpiece.count_tokens(docs, RANKS).collect()) == want
     assert wordpiece.count_tokens(none, RANKS).count() == 0
 
 

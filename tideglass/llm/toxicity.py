@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, tidy, written
+from .common import crc_mod, release, small_batches, tidy, written
 
 #: Bounds of the fit: labelled rows in the sample, the terms that they hold together, and terms shown as marks of label 1.
 MAX_EXAMPLES, MAX_POSTINGS, MAX_TERMS = 4_096, 4_000_000, 512
@@ -285,7 +285,7 @@ def _document_frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_postings: int = MAX_POSTINGS) -> tuple[Model, list[str]]:
     """The model, and the words that mark label 1 by themselves (MAX_TERMS at most, for evidence only)."""
     sample = _sample(docs, labels, max_examples, max_postings)
-    table = sample.select("doc_id", "toxic", "hashes").orderBy("doc_id", F.xxhash64("text")).toArrow()  # within both bounds
+    table = sample.select("doc_id", "toxic", "hashes", F.xxhash64("text").alias("key")).toArrow().sort_by([("doc_id", "ascending"), ("key", "ascending")])  # within both bounds
     hashes, row, term, tf = term_counts(table["hashes"])
     ids, toxic = table["doc_id"].to_numpy(), table["toxic"].to_numpy().astype(np.float64)
     del table
@@ -326,6 +326,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_
     small_batches(docs)
     model, marks = fit(docs, labels, max_examples, max_postings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    release(docs.sparkSession)
     names = ["doc_id", "held_out", "score", "predicted", "terms", "neighbours", "cosines", *(f"kept_{c}" for c in keep)]
     size = len(names) - len(keep)
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, steps, texts_of
+from .common import small_batches, steps, texts_of, tidy
 
 #: Distinct words remembered between steps.
 REMEMBERED = 400_000
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     small_batches(docs)
     names = ["doc_id", "n_bytes", "n_words", "n_tokens", "n_unknown"]
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
