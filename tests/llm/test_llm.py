@@ -846,3 +846,35 @@ def test_pipeline(spark, tmp_path):
         if c:
             want[i, len(enc.encode([cut[i] or ""])[0]) // 4] += c
     assert collections.Counter((r.doc_id, r.n_tokens) for r in out) == want
+
+
+def _by_sql(sql, tables):
+    """Rows of DuckDB SQL over pandas frames."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame)
+    found = con.sql(sql)
+    order = sorted(found.columns)
+    return collections.Counter(tuple(r[found.columns.index(c)] for c in order) for r in found.fetchall())
+
+
+def _by_spark(df):
+    order = sorted(df.columns)
+    return collections.Counter(tuple(r) for r in df.select(*order).collect())
+
+
+def test_sql_of_operators_on_nulls_ties_and_repeated_rows(docs, spark):
+    import pyarrow as pa
+
+    from tideglass.llm import oracle
+
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    # as in the tables, columns are of Arrow types, so that null ids stay null
+    table = pa.table({n: pa.array([r[i] for r in rows()], pa.int64() if f.endswith("long") else pa.string()) for i, (n, f) in enumerate(zip(names, SCHEMA.split(", "), strict=True))})
+    assert _by_spark(ngram_join.link_documents(docs)) == _by_sql(oracle.ngram_join(), {"documents": table})
+    assert _by_spark(quality.judge(docs)) == _by_sql(oracle.quality_rules(), {"documents": table})
+    pages = [(7, "http://a/x", "one"), (7, "http://a/x", "one"), (3, "http://b/", "é"), (9, None, "one"), (None, "http://c/", "one"), (None, "http://d/", None), (4, "http://e/", ""), (5, "http://f/", "alone")]
+    table = pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [p[1] for p in pages], "html": [p[2] for p in pages]})
+    assert _by_spark(warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))) == _by_sql(oracle.warc(), {"pages": table})

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, lm, media, mixing, ngram_join, quality, substring, toxicity, warc, wordpiece
+from . import bpe, common, lm, media, mixing, ngram_join, oracle, quality, substring, toxicity, warc, wordpiece
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,9 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL = {"op2_mix": mixing.oracle_sql()}
+ORACLE_SQL = {
+    "op2_mix": mixing.oracle_sql(),
+    "op3_ngram_join": oracle.ngram_join(),
+    "op6_warc": oracle.warc(),
+    "op7_quality": oracle.quality_rules(),
+}
