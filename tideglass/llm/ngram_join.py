@@ -32,6 +32,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SPREAD, MAX_FREQUENT = 12, 1 << 19
 #: Nodes of a hub that meet in blocks of about so many.
 HUB_BLOCK = 256
+#: Copies of a hub's row, each of which meets its share of the nodes.
+HUB_SALTS = 16
 COEFFICIENTS = random_table(SHINGLE, 11) | U(1)
 SHORT = random_table(SHINGLE, 12)
 
@@ -281,7 +283,10 @@ def _meetings(open_: DataFrame, judged: DataFrame) -> DataFrame:
     lists = lists.withColumn("extra", F.when(F.col("hub") == F.col("node"), none).when(hub_first, F.col("only_b")).otherwise(F.col("only_a")))
     lists = written(lists.withColumn("inside", F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "shared", "only_a", "only_b"), "lists")
     largest = lists.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("hub").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.ceil(F.sum("m") / F.lit(float(HUB_BLOCK))).cast("int").alias("blocks"))
-    lists = written(lists.join(largest, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "lists")
+    # a hub's row in copies, so that no task has all nodes of a large hub
+    copies = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+    salted = lists.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(HUB_SALTS)).cast("int"))
+    lists = written(salted.join(copies, ["hub", "salt"]).drop("salt").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "lists")
 
     def side(s: str) -> DataFrame:
         # the nodes of a large hub are in blocks, and every block of one side meets every block of the other in a task of its own
