@@ -292,3 +292,59 @@ def test_layout_does_not_matter(spark, engine, parts):
     other = Engine(spark, FrameSeries(raw.df.repartition(parts)), options=ParserOptions.everything())
     for q in ("sum by (team) (rate(jobs[3m]))", "hole", "max_over_time(fall[4m])"):
         assert rows(other.range_query(q, 0, 600, 60)) == pytest.approx(rows(engine.range_query(q, 0, 600, 60)))
+
+
+def test_sizes_deal_the_series(spark, tmp_path, monkeypatch):
+    """A table's series go to parts by the size of its files, so a task's memory does not grow with them."""
+    from tideglass.operators import select
+    from tideglass.queries import queries
+
+    where = "/root/testdata/sf0.001"
+    for size, parts in ((1 << 12, 8), (1 << 10, 26)):
+        monkeypatch.setattr(select, "PART_BYTES", size)
+        for name in ("increase", "rate", "irate", "sum_over_time", "mad_over_time", "double_exponential_smoothing", "smoothed", "instant_selector"):
+            plan = queries()[name](spark, where)._jdf.queryExecution().executedPlan().toString()
+            assert f", {parts}), REPARTITION_BY_NUM" in plan, (name, plan)
+
+
+@pytest.mark.parametrize("name", ["rate", "increase", "delta", "changes", "resets"])
+@pytest.mark.parametrize("mode", ["anchored", "smoothed"])
+def test_extended_windows(spark, name, mode):
+    """Against the definition, on series with ties, gaps, falls and samples at edges; the state of a window holds no list."""
+    if mode == "smoothed" and name in ("changes", "resets"):
+        pytest.skip("not of smoothed windows")
+    draw = random.Random(7)
+    lookback, step, width, last = 90_000, 30_000, 70_000, 900_000
+    series = {f"s{i}": {t * 10_000 + draw.choice([0, 0, 3]): float(draw.randint(0, 9)) for t in draw.sample(range(90), n)} for i, n in enumerate([0, 1, 2, 5, 20, 80])}
+    source = MemorySeries()
+    for s, samples in series.items():
+        source.add({"__name__": "m", "s": s}, sorted(samples.items()))
+    engine = Engine(spark, source, lookback / 1000, ParserOptions.everything())
+    df = engine.range_query(f"{name}(m[{width // 1000}s] {mode})", 0, last / 1000, step / 1000)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.s, r.step_ms): r.value for r in df.collect()}
+    counter, after = name in ("rate", "increase"), lookback if mode == "smoothed" else 0
+    want = {}
+    for s, samples in series.items():
+        for end in range(0, last + 1, step):
+            start = end - width
+            seen = sorted((t, v) for t, v in samples.items() if start - lookback < t <= end + after)
+            inside = [v for t, v in seen if start < t <= end]
+
+            def edge(at, seen=seen, start=start):
+                low, high = [x for x in seen if x[0] <= at][-1:], [x for x in seen if x[0] >= at][:1]
+                if mode == "anchored":
+                    return low[0][1] if low else next(v for t, v in seen if t > start)
+                if not low or not high or low == high:
+                    return (low or high)[0][1]
+                (t0, v0), (t1, v1) = low[0], high[0]
+                base = 0.0 if v1 < v0 and counter else v0
+                return base + (v1 - base) * (at - t0) / (t1 - t0)
+
+            if not seen or (mode == "anchored" and not inside):
+                continue
+            path = [edge(start), *inside, edge(end)]
+            add = {"changes": lambda a, v: float(v != a), "resets": lambda a, v: float(v < a), "delta": lambda a, v: v - a}.get(name, lambda a, v: v if v < a else v - a)
+            want[s, end] = sum(add(a, v) for a, v in zip(path, path[1:])) / (width / 1000 if name == "rate" else 1)
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want)

@@ -90,6 +90,8 @@ class Raw:
     df: DataFrame
     labels: tuple[str, ...]
     one_name: bool = False
+    #: Size of the files it comes from; 0: not known, or grouped from them.
+    size: int = 0
 
 
 @dataclass

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import SMALL, inf, kahan_mean, kahan_sum, max_number, mean, nan, quantile
 from ..model import Grid, Raw, Scalar, Vector, columns
-from .select import in_windows, series_window, window_start
+from .select import by_series, in_windows, series_window, steps, window_start
 
 KEEPS_NAME = {"last_over_time", "first_over_time"}
 
@@ -80,8 +80,12 @@ def _merged(name: str) -> tuple[list[Column], Column]:
     return states, value()
 
 
+def _falls(a: Column, v: Column) -> Column:
+    return (v < a) & ~F.isnan(a) & ~F.isnan(v)
+
+
 def _reset() -> Column:
-    return (_v() < F.col("prev")) & ~F.isnan("prev") & ~F.isnan(_v())
+    return _falls(F.col("prev"), _v())
 
 
 def _change() -> Column:
@@ -229,38 +233,56 @@ def extended(name: str, mode: str, raw: Raw, grid: Grid, width: int, lookback: i
 
     anchored: the last sample at or before each edge (at the start else the first one in the window).
     smoothed: interpolated between the samples around each edge (else the nearest one).
+
+    A sample is dealt to the steps whose windows hold it, and beyond to those whose start it is the last one before or whose
+    end it is the first one after, `lookback` away at most.  Of these, of the first and of the last in a window there is one,
+    so a window's state is a few numbers.
     """
     keys = [*columns(raw.labels), "step_ms"]
-    df = raw.df.where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
-    # a window with `lookback` more before it, and after it if it is smoothed
     after = lookback if mode == "smoothed" else 0
-    df = in_windows(df, raw.labels, grid, width + lookback + after, offset - after, ["value"])
-    start, end = F.col("step_ms") - offset - width, F.col("step_ms") - offset
-    df = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("all"))
     counter = name in ("rate", "increase", "resets")
-
-    def edge(at: Column) -> Column:
-        low = F.get(F.reverse(F.filter("all", lambda x: x["ts_ms"] <= at)), F.lit(0))
-        high = F.get(F.filter("all", lambda x: x["ts_ms"] >= at), F.lit(0))
-        if mode == "anchored":
-            return F.coalesce(low["value"], F.get(F.filter("all", lambda x: x["ts_ms"] > start), F.lit(0))["value"])
-        base = F.when((high["value"] < low["value"]) & F.lit(counter), 0.0).otherwise(low["value"])
-        share = (at - low["ts_ms"]) / F.when(high["ts_ms"] > low["ts_ms"], high["ts_ms"] - low["ts_ms"]).otherwise(F.lit(1))
-        return F.when(low.isNull(), high["value"]).when(high.isNull() | (high["ts_ms"] == low["ts_ms"]), low["value"]).otherwise(base + (high["value"] - base) * share)
-
-    inside = F.transform(F.filter("all", lambda x: (x["ts_ms"] > start) & (x["ts_ms"] <= end)), lambda x: x["value"])
-    df = df.withColumn("inside", inside).withColumn("first", edge(start)).withColumn("last", edge(end)).where((F.size("inside") > 0) | F.lit(mode == "smoothed"))
-    path = F.concat(F.array("first"), "inside", F.array("last"))
-    zero = F.struct(F.get(path, F.lit(0)).alias("v"), F.lit(0.0).alias("x"))
-    down = lambda a, v: (v < a["v"]) & ~F.isnan(v) & ~F.isnan(a["v"])
     add = {
-        "changes": lambda a, v: F.when((v != a["v"]), 1.0).otherwise(0.0),
-        "resets": lambda a, v: F.when(down(a, v), 1.0).otherwise(0.0),
-        "delta": lambda a, v: v - a["v"],
-        "increase": lambda a, v: F.when(down(a, v), v).otherwise(v - a["v"]),
-        "rate": lambda a, v: F.when(down(a, v), v).otherwise(v - a["v"]),
+        "changes": lambda a, v: F.when(v != a, 1.0).otherwise(0.0),
+        "resets": lambda a, v: F.when(_falls(a, v), 1.0).otherwise(0.0),
+        "delta": lambda a, v: v - a,
+        "increase": lambda a, v: F.when(_falls(a, v), v).otherwise(v - a),
+        "rate": lambda a, v: F.when(_falls(a, v), v).otherwise(v - a),
     }[name]
-    value = F.aggregate(path, zero, lambda a, v: F.struct(v.alias("v"), (a["x"] + add(a, v)).alias("x")), lambda a: a["x"])
+
+    w = Window.partitionBy(*columns(raw.labels)).orderBy("ts_ms", "value")
+    df = by_series(raw).where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
+    df = df.withColumn("prev", F.lag("value").over(w)).withColumn("prev_ts", F.lag("ts_ms").over(w)).withColumn("next_ts", F.lead("ts_ms").over(w))
+    first = grid.index(F.greatest(_ts() - after, "prev_ts") + offset)
+    behind = grid.index(F.least(_ts() + lookback, "next_ts") + (offset + width))
+    df = steps(df, first, behind, grid, [*columns(raw.labels), "ts_ms", "value", "prev", "prev_ts", "next_ts"])
+    start, end = F.col("step_ms") - (offset + width), F.col("step_ms") - offset
+    inside = (_ts() > start) & (_ts() <= end)
+    paired = F.coalesce(F.col("prev_ts") > start, F.lit(False))
+
+    def only(where: Column, x: Column) -> Column:  # of the one row where it holds
+        return F.max(F.when(where, x))
+
+    low, high, lead, tail = _ts() <= start, _ts() > end, inside & ~paired, inside & F.coalesce(F.col("next_ts") > end, F.lit(True))
+    states = [only(where, x).alias(k + mark) for k, where in (("low", low), ("lead", lead), ("tail", tail), ("high", high)) for mark, x in (("", _v()), ("_ts", _ts()))]
+    df = df.groupBy(*keys).agg(*states, F.sum(F.when(inside & paired, add(F.col("prev"), _v()))).alias("pairs"))
+
+    def edge(at: Column, low: str, high: str) -> Column:
+        """The value at an edge by the last sample up to it and the first one beyond."""
+        a, b, a_ts, b_ts = (F.col(x) for x in (low, high, low + "_ts", high + "_ts"))
+        if mode == "anchored":
+            return F.coalesce(a, b)
+        base = F.when((b < a) & F.lit(counter), 0.0).otherwise(a)
+        share = (at - a_ts) / F.when(b_ts > a_ts, b_ts - a_ts).otherwise(F.lit(1))
+        return F.when(a_ts.isNull(), b).when(b_ts.isNull() | (a_ts == at), a).otherwise(base + (b - base) * share)
+
+    some = F.col("lead_ts").isNotNull()
+    if mode == "anchored":
+        df = df.where(some)
+    around = {f"{k}{mark}": F.coalesce(k + mark, other + mark) for k, other in (("lead", "high"), ("tail", "low")) for mark in ("", "_ts")}
+    df = df.withColumns({"some": some, "in": F.col("lead"), "out": F.col("tail")}).withColumns(around)
+    df = df.withColumn("first", edge(start, "low", "lead")).withColumn("last", edge(end, "tail", "high"))
+    a, b = F.col("first"), F.col("last")
+    value = add(a, a) + F.when(F.col("some"), add(a, F.col("in")) + F.coalesce("pairs", F.lit(0.0)) + add(F.col("out"), b)).otherwise(add(a, b))
     if name == "rate":
         value = value / (width / 1000.0)
     return Vector(df.select(*keys, value.alias("value"), F.lit(True).alias("drop_name")).where("value is not null"), raw.labels, raw.one_name, nameless=True)

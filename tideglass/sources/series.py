@@ -77,6 +77,8 @@ class TableSeries:
     prune: object = None
     #: Whether NaNs of the table may be staleness markers (by their bits).
     markers: bool = False
+    #: Size of the table's files, where each row is a sample.
+    size: int = 0
 
     def select(self, spark: SparkSession, matchers: list[Matcher], hints: Hints) -> Raw:
         df = self.df(hints.start, hints.end) if callable(self.df) else self.df
@@ -97,7 +99,7 @@ class TableSeries:
         df = df.select(*out, self.ts_ms.cast("bigint").alias("ts_ms"), self.value.cast("double").alias("value"))
         df = df.where(F.col("ts_ms").between(hints.start, hints.end) & F.col("value").isNotNull())
         stale = F.when(F.isnan("value"), is_stale("value")).otherwise(F.lit(False)) if self.markers else F.lit(False)
-        return Raw(df.withColumn("is_stale", stale), names, True)
+        return Raw(df.withColumn("is_stale", stale), names, True, self.size)
 
 
 @dataclass

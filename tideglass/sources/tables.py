@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.select import dealt
 from .series import Catalog, TableSeries
 
 
@@ -26,6 +27,11 @@ def _between(column: str, before: int | None = 0, after: int = 0):
     return prune
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of a table's files, as its scan knows them: no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """events_value and events_total by event_type and user_id, order_totalprice and ship_quantity by day, value_bucket by hour, and info series."""
 
@@ -33,10 +39,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     events = table("events")
+    size = _size(events)
     labels = {"event_type": F.col("event_type"), "user_id": F.col("user_id")}
 
     def running(start: int, end: int) -> DataFrame:  # counts all that came before, so only the end binds
-        seen = events.where(_between("ts", None)(start, end))
+        seen = dealt(events.where(_between("ts", None)(start, end)), size, ["event_type", "user_id"])
         return seen.withColumn("n", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")))
 
     orders = table("orders").groupBy("o_orderpriority", "o_orderstatus", "o_orderdate").agg(F.sum("o_totalprice").alias("v"))
@@ -57,8 +64,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     return Catalog(
         {
-            "events_value": TableSeries("events_value", events, _millis("ts"), F.col("value"), labels, _between("ts")),
-            "events_total": TableSeries("events_total", running, _millis("ts"), F.col("n"), labels),
+            "events_value": TableSeries("events_value", events, _millis("ts"), F.col("value"), labels, _between("ts"), size=size),
+            "events_total": TableSeries("events_total", running, _millis("ts"), F.col("n"), labels, size=size),
             "order_totalprice": TableSeries("order_totalprice", orders, _millis("o_orderdate"), F.col("v"), {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, _between("o_orderdate")),
             "ship_quantity": TableSeries("ship_quantity", lines, _millis("l_shipdate"), F.col("v"), {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus")}, _between("l_shipdate")),
             "value_bucket": TableSeries("value_bucket", bucket_counts, F.col("h"), F.col("v"), {"event_type": F.col("event_type"), "le": F.col("le")}),
