@@ -348,3 +348,8 @@ def test_extended_windows(spark, name, mode):
             want[s, end] = sum(add(a, v) for a, v in zip(path, path[1:])) / (width / 1000 if name == "rate" else 1)
     assert got.keys() == want.keys()
     assert got == pytest.approx(want)
+
+
+def test_last_two_samples_are_not_sorted(spark):
+    plan = Engine(spark, MemorySeries("x 1+1x10")).range_query("irate(x[5m])", 0, 600, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

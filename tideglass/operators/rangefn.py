@@ -1,9 +1,10 @@
 """Functions of range vectors.
 
-Functions that fold states first aggregate the samples that lie in the same windows (a cell), and deal the cells to the
-steps, so a dense series is not multiplied by window / step.  What a function needs from a neighbour (the sample before,
-for rates, resets and changes) is one `lag` by series before that; whether the pair across two cells counts is seen in
-the window.  Only what needs all values of a window (quantiles, regressions, smoothing) deals the samples themselves.
+Most functions first aggregate the samples that lie in the same windows (a cell), so a dense series is not multiplied by
+window / step, and deal the cells to spans (runs of steps that see the same cells), so a sparse one is not either; steps
+come last.  What a function needs from a neighbour (the sample before, for rates, resets and changes) is one `lag` by
+series before that; whether the pair across two cells counts is seen in the window.  Where all values of a window are
+needed (quantiles, smoothing) the state is their list.  Only regressions, deviations and exact sums deal the samples.
 """
 
 from __future__ import annotations
@@ -38,13 +39,32 @@ def _cell(ts: Column, grid: Grid, width: int, offset: int) -> tuple[Column, Colu
     return first, F.least(grid.index(ts + (offset + width)), F.lit(grid.count).cast("bigint")) - 1
 
 
-def _cells(raw: Raw, grid: Grid, width: int, offset: int, aggs: list[Column], paired: bool = False) -> DataFrame:
-    """States of the samples that lie in the same windows, then dealt to the steps.
+def _spans(df: DataFrame, keys: list[str], grid: Grid, width: int) -> DataFrame:
+    """Cells dealt to spans (k to until), runs of steps that see the same cells: a span begins where one comes or has gone."""
+    if grid.count == 1 or width <= grid.step:  # a cell is of one step
+        return df.withColumn("k", F.col("k0")).withColumn("until", F.col("k0"))
+    reach = width // grid.step + 1
+    near = Window.partitionBy(*keys).orderBy("k0").rangeBetween(-reach, reach)
+    df = df.withColumn("come", F.collect_list("k0").over(near)).withColumn("gone", F.collect_list(F.col("k1") + 1).over(near))
+    begin = F.filter(F.concat("come", "gone"), lambda k: (k >= F.col("k0")) & (k <= F.col("k1")))
+    df = df.withColumn("begin", F.when(F.size("come") == 1, F.array("k0")).otherwise(F.sort_array(F.array_distinct(begin)))).drop("come", "gone")
+    df = df.select("*", F.posexplode("begin").alias("at", "k"))
+    return df.withColumn("until", F.coalesce(F.get("begin", F.col("at") + 1) - 1, F.col("k1"))).drop("begin", "at", "k0", "k1")
 
+
+def _steps(df: DataFrame, grid: Grid) -> DataFrame:
+    """Spans dealt to their steps."""
+    return df.withColumn("at", F.explode(F.sequence("k", "until"))).withColumn("step_ms", F.col("at") * grid.step + grid.start).drop("at")
+
+
+def _cells(raw: Raw, grid: Grid, width: int, offset: int, aggs: list[Column], merged: list[Column], paired: bool = False) -> DataFrame:
+    """States of the samples that lie in the same windows, merged by span.
+
+    ws is the start of the first window of a span; any other holds the same samples.
     paired: with the sample before (prev, prev_ts), and whether it is in the same cell (inner).
     """
     keys = columns(raw.labels)
-    df = raw.df.where("not is_stale")
+    df = by_series(raw).where("not is_stale")
     if paired:
         w = series_window(raw)
         df = df.withColumn("prev", F.lag("value").over(w)).withColumn("prev_ts", F.lag("ts_ms").over(w))
@@ -53,9 +73,9 @@ def _cells(raw: Raw, grid: Grid, width: int, offset: int, aggs: list[Column], pa
     if paired:
         first, last = _cell(F.col("prev_ts"), grid, width, offset)
         df = df.withColumn("inner", F.coalesce((first == F.col("k0")) & (last == F.col("k1")), F.lit(False)))
-    df = df.groupBy(*keys, "k0", "k1").agg(*aggs)
-    df = df.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("step_ms", F.col("k") * grid.step + grid.start)
-    return df
+    df = _spans(df.groupBy(*keys, "k0", "k1").agg(*aggs), keys, grid, width)
+    df = df.withColumn("ws", F.col("k") * grid.step + (grid.start - offset - width))
+    return df.groupBy(*keys, "k", "until").agg(*merged)
 
 
 MERGED = {"sum_over_time", "avg_over_time", "count_over_time", "min_over_time", "max_over_time", "last_over_time", "first_over_time", "present_over_time", "ts_of_first_over_time", "ts_of_last_over_time", "ts_of_max_over_time", "ts_of_min_over_time"}
@@ -100,7 +120,7 @@ def _over_pairs(amount: Column) -> list[Column]:
 
 def _pairs_sum() -> Column:
     """The sum over the pairs that lie in a window."""
-    return F.sum("within") + F.sum(F.when(F.col("across_ts") > F.col("wstart"), F.col("across")).otherwise(0.0))
+    return F.sum("within") + F.sum(F.when(F.col("across_ts") > F.col("ws"), F.col("across")).otherwise(0.0))
 
 
 def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Column], list[Column], Column]:
@@ -110,7 +130,7 @@ def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Col
     carried below zero.
     """
     states = [F.count(_v()).alias("n"), F.min(_ts()).alias("t0"), F.max(_ts()).alias("tn"), F.min_by("value", "ts_ms").alias("v0"), _last("value").alias("vn")]
-    merged = [F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("vn", "tn").alias("vn"), F.min("t0").alias("t0"), F.max("tn").alias("tn"), F.first("wstart").alias("ws")]
+    merged = [F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("vn", "tn").alias("vn"), F.min("t0").alias("t0"), F.max("tn").alias("tn")]
     if counter:
         states += _over_pairs(F.when(_reset(), F.col("prev")))
         merged.append(_pairs_sum().alias("lost"))
@@ -131,9 +151,10 @@ def _extrapolated(counter: bool, per_second: bool, width: int) -> tuple[list[Col
 
 def _instant(per_second: bool) -> tuple[list[Column], list[Column], Column]:
     """From the last two samples."""
-    states = [F.max_by(F.struct("value", "prev", "ts_ms", "prev_ts"), "ts_ms").alias("last"), F.max(_ts()).alias("tn")]
-    merged = [F.max_by("last", "tn").alias("x"), F.first("wstart").alias("ws")]
-    x = F.col("x")
+    # one by one: a struct as a state would sort the samples
+    states = [*(_last(x).alias(x) for x in ("value", "prev", "prev_ts")), F.max(_ts()).alias("tn")]
+    merged = [*(F.max_by(x, "tn").alias(x) for x in ("value", "prev", "prev_ts")), F.max("tn").alias("ts_ms")]
+    x = {n: F.col(n) for n in ("value", "prev", "ts_ms", "prev_ts")}
     two = x["prev_ts"] > F.col("ws")
     change = x["value"] - x["prev"]
     if not per_second:
@@ -190,14 +211,14 @@ def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args:
 
     if name in MERGED and not (exact and name in ("sum_over_time", "avg_over_time")):
         states, value = _merged(name)
-        return finish(_cells(raw, grid, width, offset, states).groupBy(*keys).agg(value.alias("out")), F.col("out"))
+        return finish(_steps(_cells(raw, grid, width, offset, states, [value.alias("out")]), grid), F.col("out"))
 
     if name in PAIRED:
         states, merged, value = PAIRED[name](width)
-        cells = _cells(raw, grid, width, offset, states, name not in ("delta",)).withColumn("wstart", window_start(width, offset))
-        return finish(cells.groupBy(*keys).agg(*merged), value)
+        windows = _steps(_cells(raw, grid, width, offset, states, merged, name != "delta"), grid)
+        return finish(windows.withColumn("ws", window_start(width, offset)), value)
 
-    df = raw.df.where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
+    df = by_series(raw).where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
     df = in_windows(df, raw.labels, grid, width, offset, ["value"])
     df = df.withColumn("wstart", window_start(width, offset))
     groups = df.groupBy(*keys)
