@@ -350,6 +350,38 @@ def test_extended_windows(spark, name, mode):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize(("width", "step"), [(60, 7), (300, 11), (20, 60)])
+def test_lists_of_spans(spark, width, step):
+    """Medians and smoothing against plain loops, on dense and sparse series; lists are made once for all steps that see the same samples."""
+    rng = random.Random(width * step)
+    series = {k: sorted((t, float(rng.choice([0, 1, 2, 5, math.nan]))) for t in rng.sample(range(0, 900_000, 500), n)) for k, n in (("a", 90), ("b", 4))}
+    s = MemorySeries()
+    for k, samples in series.items():
+        s.add({"__name__": "x", "k": k}, samples)
+    engine = Engine(spark, s, options=ParserOptions.everything())
+
+    def median(vs):
+        vs = sorted(vs, key=lambda v: (not math.isnan(v), v))
+        return vs[len(vs) // 2] if len(vs) % 2 else vs[len(vs) // 2 - 1] * 0.5 + vs[len(vs) // 2] * 0.5
+
+    def holt(vs):
+        level, trend = vs[0], vs[1] - vs[0]
+        for v in vs[1:]:
+            new = 0.3 * v + 0.7 * (level + trend)
+            level, trend = new, 0.7 * (new - level) + 0.3 * trend
+        return level
+
+    for query, least, value in (("quantile_over_time(0.5, {})", 1, median), ("mad_over_time({})", 1, lambda vs: median([abs(v - median(vs)) for v in vs])), ("double_exponential_smoothing({}, 0.3, 0.7)", 2, holt)):
+        df = engine.range_query(query.format(f"x[{width}s]"), 0, 900, step)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("explode(sequence") < plan.index("collect_list"), plan
+        got = rows(df)
+        want = {((("k", k),), at): value(vs) for k, samples in series.items() for at in range(0, 901, step) if len(vs := [v for _, v in brute_windows(samples, at * 1000, width * 1000)]) >= least}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert (math.isnan(got[k]) and math.isnan(v)) or got[k] == pytest.approx(v, abs=1e-12), (query, k)
+
+
 def test_last_two_samples_are_not_sorted(spark):
     plan = Engine(spark, MemorySeries("x 1+1x10")).range_query("irate(x[5m])", 0, 600, 60)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan

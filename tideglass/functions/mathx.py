@@ -149,15 +149,25 @@ def max_number(v: Column) -> Column:
     return F.coalesce(F.max(F.when(~F.isnan(v), v)), nan())
 
 
-def quantile(phi: Column, values: Column) -> Column:
-    """Interpolated quantile of an array, NaN being the smallest value."""
-    nan_first = F.concat(F.filter(values, lambda x: F.isnan(x)), F.array_sort(F.filter(values, lambda x: ~F.isnan(x))))
-    n = F.size(values)
+def ranked(values: Column) -> Column:
+    """The array in order, NaN being the smallest value."""
+    up = F.sort_array(values)
+    nans = F.concat(F.filter(up, lambda x: F.isnan(x)), F.filter(up, lambda x: ~F.isnan(x)))
+    return F.when(F.isnan(F.get(up, F.size(values) - 1)), nans).otherwise(up)
+
+
+def quantile_of(phi: Column, ordered: Column) -> Column:
+    """Interpolated quantile of an array that is `ranked`."""
+    n = F.size(ordered)
     inside = (phi >= 0) & (phi <= 1) & ~F.isnan(phi)
     rank = F.when(inside, phi).otherwise(0.0) * (n - 1)
     low = F.floor(rank).cast("int")
     high = F.least(low + 1, n - 1)
     w = rank - low
-    sorted_ = nan_first
-    value = F.get(sorted_, low) * (1 - w) + F.get(sorted_, high) * w
-    return F.when(F.isnan(phi) | (n == 0), nan()).when(phi < 0, -inf()).when(phi > 1, inf()).otherwise(F.when(w == 0, F.get(sorted_, low)).otherwise(value))
+    value = F.get(ordered, low) * (1 - w) + F.get(ordered, high) * w
+    return F.when(F.isnan(phi) | (n == 0), nan()).when(phi < 0, -inf()).when(phi > 1, inf()).otherwise(F.when(w == 0, F.get(ordered, low)).otherwise(value))
+
+
+def quantile(phi: Column, values: Column) -> Column:
+    """Interpolated quantile of an array, NaN being the smallest value."""
+    return quantile_of(phi, ranked(values))

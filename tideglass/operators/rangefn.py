@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import SMALL, inf, kahan_mean, kahan_sum, max_number, mean, nan, quantile
+from ..functions.mathx import SMALL, inf, kahan_mean, kahan_sum, max_number, mean, nan, quantile_of, ranked
 from ..model import Grid, Raw, Scalar, Vector, columns
 from .select import by_series, in_windows, series_window, steps, window_start
 
@@ -199,6 +199,27 @@ def _smoothed(values: Column, sf: Column, tf: Column) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), start, fold, lambda a: a["s"])
 
 
+def _exponential(sf: Scalar, tf: Scalar) -> tuple[Column, list[Column], Column, Column]:
+    bad = (sf.expr <= 0) | (sf.expr >= 1) | (tf.expr <= 0) | (tf.expr >= 1)
+    error = F.raise_error(F.lit("invalid smoothing or trend factor: expected a number between 0 and 1")).cast("double")
+    two = F.size("vs") > 1
+    value = F.when(bad, error).when(two, _smoothed(F.col("vs"), sf.expr, tf.expr))
+    return F.struct("ts_ms", "value"), [F.transform(F.sort_array("vs"), lambda x: x["value"])], value, bad | two
+
+
+def _deviations(ranked: Column) -> Column:
+    middle = F.transform(F.array(quantile_of(F.lit(0.5), ranked)), lambda m: F.transform(ranked, lambda x: F.abs(x - m)))
+    return F.get(middle, 0)
+
+
+#: What is listed of a sample, what is made of the list one by one, the value, and which lists have one (None: all).
+LISTED = {
+    "quantile_over_time": lambda phi: (_v(), [ranked(F.col("vs"))], quantile_of(phi.expr, F.col("vs")), None),
+    "mad_over_time": lambda: (_v(), [ranked(F.col("vs")), _deviations(F.col("vs")), ranked(F.col("vs"))], quantile_of(F.lit(0.5), F.col("vs")), None),
+    "double_exponential_smoothing": _exponential,
+}
+
+
 def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args: tuple[Scalar, ...] = (), exact: bool = False) -> Vector:
     """A range function by name over windows of `width` ms; an empty window gives no sample."""
     keys = [*columns(raw.labels), "step_ms"]
@@ -218,6 +239,21 @@ def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args:
         windows = _steps(_cells(raw, grid, width, offset, states, merged, name != "delta"), grid)
         return finish(windows.withColumn("ws", window_start(width, offset)), value)
 
+    if name in LISTED:
+        state, values, value, keep = LISTED[name](*args)
+        spans = _cells(raw, grid, width, offset, [F.collect_list(state).alias("vs")], [F.flatten(F.collect_list("vs")).alias("vs")])
+        same = all(a.constant is not None for a in args)  # at all steps
+        if same and keep is not None:
+            spans = spans.where(keep)
+        for x in values:  # column by column, so that each is computed once
+            spans = spans.withColumn("vs", x)
+        if same:  # never null; a filter would compute it again
+            return out.with_df(_steps(spans.withColumn("out", value), grid).select(*keys, F.col("out").alias("value"), drop))
+        df = _steps(spans, grid)
+        for a in args:
+            df = a.attach(df)
+        return finish(df, value)
+
     df = by_series(raw).where("not is_stale").select(*columns(raw.labels), "ts_ms", "value")
     df = in_windows(df, raw.labels, grid, width, offset, ["value"])
     df = df.withColumn("wstart", window_start(width, offset))
@@ -231,17 +267,6 @@ def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args:
         aggs, lines = _regression("step_ms")
         df2 = args[0].attach(groups.agg(*aggs))
         return finish(df2, F.when(F.col("n") > 1, F.when(F.col("odd"), nan()).otherwise(lines["slope"] * args[0].expr + lines["intercept"])))
-    elif name == "quantile_over_time":
-        df2 = args[0].attach(groups.agg(F.collect_list("value").alias("vs")))
-        return finish(df2, quantile(args[0].expr, F.col("vs")))
-    elif name == "mad_over_time":
-        df2 = groups.agg(F.collect_list("value").alias("vs")).withColumn("mid", quantile(F.lit(0.5), F.col("vs")))
-        return finish(df2, quantile(F.lit(0.5), F.transform("vs", lambda x: F.abs(x - F.col("mid")))))
-    elif name == "double_exponential_smoothing":
-        df2 = args[0].attach(args[1].attach(groups.agg(_ordered_values().alias("vs"))))
-        bad = (args[0].expr <= 0) | (args[0].expr >= 1) | (args[1].expr <= 0) | (args[1].expr >= 1)
-        value = F.when(bad, F.raise_error(F.lit("invalid smoothing or trend factor: expected a number between 0 and 1")).cast("double")).when(F.size("vs") > 1, _smoothed(F.col("vs"), args[0].expr, args[1].expr))
-        return finish(df2, value)
     elif name in ("sum_over_time", "avg_over_time"):
         aggs, value = [_ordered_values().alias("vs")], kahan_mean(F.col("vs")) if name[0] == "a" else kahan_sum(F.col("vs"))
     else:
