@@ -385,3 +385,27 @@ def test_lists_of_spans(spark, width, step):
 def test_last_two_samples_are_not_sorted(spark):
     plan = Engine(spark, MemorySeries("x 1+1x10")).range_query("irate(x[5m])", 0, 600, 60)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def duckdb_rows(name: str, where: str) -> list[tuple]:
+    import duckdb
+
+    from tideglass.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS FROM '{where}/events.parquet'")
+    return sorted(con.execute(oracle_sql()[name]).fetchall())
+
+
+def test_resets_in_parts(spark, monkeypatch):
+    """A part of the series for each PART_BYTES of the table, one row for a span and not for each step before the last, and the same answer."""
+    from tideglass.operators import select
+    from tideglass.queries import queries
+
+    where = "/root/testdata/sf0.001"
+    monkeypatch.setattr(select, "PART_BYTES", 1 << 10)
+    df = queries()["resets"](spark, where)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert ", 26), REPARTITION_BY_NUM" in plan, plan
+    assert plan.index("sequence(") < plan.index("HashAggregate"), plan  # of the tree, the top is first: steps come last
+    assert sorted(tuple(r) for r in df.collect()) == duckdb_rows("resets", where)
