@@ -409,3 +409,51 @@ def test_resets_in_parts(spark, monkeypatch):
     assert ", 26), REPARTITION_BY_NUM" in plan, plan
     assert plan.index("sequence(") < plan.index("HashAggregate"), plan  # of the tree, the top is first: steps come last
     assert sorted(tuple(r) for r in df.collect()) == duckdb_rows("resets", where)
+
+
+def joined_in_parts(spark, name, where="/root/testdata/sf0.001"):
+    """Both sides of a query's join go to 26 parts by match key and step, and no window looks for equal labels after it."""
+    from tideglass.queries import queries
+
+    df = queries()[name](spark, where)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    parts = [x for x in plan.split("\n") if ", 26), REPARTITION_BY_NUM" in x]
+    assert sum("key_event_type" in x and "key_step" in x for x in parts) == 2, plan
+    assert "raise_error" not in plan, plan
+    assert sorted(tuple(r) for r in df.collect()) == duckdb_rows(name, where)
+
+
+def test_group_left_in_parts(spark, monkeypatch):
+    from tideglass.operators import select
+
+    monkeypatch.setattr(select, "PART_BYTES", 1 << 10)
+    joined_in_parts(spark, "group_left")
+
+
+def test_equal_labels_in_parts(spark, monkeypatch):
+    """Where two series may become one, the search for equal labels goes to parts by size, too."""
+    from tideglass.operators import select
+    from tideglass.sources.tables import catalog
+
+    monkeypatch.setattr(select, "PART_BYTES", 1 << 10)
+    e = Engine(spark, catalog(spark, "/root/testdata/sf0.001"), "6h", ParserOptions.everything())
+    query = 'sum by (event_type, user_id) (events_value) * on(event_type) group_left({}) label_replace(sum by (event_type) (events_value), "{}", "$1", "event_type", "(.).*")'
+    plan = e.range_query(query.format("user_id", "user_id"), 1_704_067_200, 1_704_153_600, 3600)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "raise_error" in above and ", 26), REPARTITION_BY_NUM" in above, plan
+
+
+@pytest.mark.parametrize("query", ["m * on(g) group_left(x) o", '{__name__=~"m|n"} * on(g) group_left o', "o * on(g) group_right(x) m", "m * on(g) group_left(x) fill_left(1) o", 'o - on(g) group_right {__name__=~"m|n"}'])
+def test_many_sides_that_become_equal(spark, query):
+    """A label from the one side, or a name that goes, may make two series equal."""
+    e = Engine(spark, MemorySeries('m{g="1",x="a"} 1\nm{g="1",x="b"} 2\nn{g="1",x="a"} 3\no{g="1",x="z"} 4'), options=ParserOptions.everything())
+    with pytest.raises(Exception, match="same labelset"):
+        e.instant_query(query, 0).collect()
+
+
+@pytest.mark.parametrize(("query", "want"), [("m * on(g) group_left o", {"a": 4.0, "b": 8.0}), ("o - on(g) group_right m", {"a": 3.0, "b": 2.0}), ("m < on(g) group_left o", {"a": 1.0, "b": 2.0})])
+def test_many_sides_that_stay_apart(spark, query, want):
+    e = Engine(spark, MemorySeries('m{g="1",x="a"} 1\nm{g="1",x="b"} 2\no{g="1"} 4'), options=ParserOptions.everything())
+    df = e.instant_query(query, 0)
+    assert {r.x: r.value for r in df.collect()} == want
+    assert "raise_error" not in df._jdf.queryExecution().optimizedPlan().toString()

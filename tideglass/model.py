@@ -75,6 +75,8 @@ class Vector:
     nameless: bool = False
     #: All series have the same name.
     one_name: bool = False
+    #: Size of the files it comes from; 0: not known.
+    size: int = 0
 
     def with_df(self, df: DataFrame, **changes) -> Vector:
         return replace(self, df=df, **changes)

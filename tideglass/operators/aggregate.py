@@ -34,13 +34,13 @@ def aggregate(op: str, v: Vector, labels: tuple[str, ...] = (), without: bool =
         keys = tuple(x for x in keys if x != param)
         out = df.groupBy(*columns(keys), F.col("text").alias(col(param)), "step_ms").agg(F.count(F.lit(1)).cast("double").alias("value"))
         names = tuple(sorted({*keys, param}))
-        return Vector(out.select(*columns(names), "step_ms", "value", F.lit(False).alias("drop_name")), names, True)
+        return Vector(out.select(*columns(names), "step_ms", "value", F.lit(False).alias("drop_name")), names, True, size=v.size)
     value = F.col("value")
     drop = F.max("drop_name") if keeps else F.first(F.lit(False))
     if op == "quantile":
         df = param.attach(df.groupBy(*by).agg(F.collect_list("value").alias("vs"), drop.alias("drop_name")))
         out = df.select(*by, quantile(param.expr, F.col("vs")).alias("value"), "drop_name")
-        return Vector(out, keys, not keeps)
+        return Vector(out, keys, not keeps, size=v.size)
     if exact and op in ("sum", "avg"):
         order = F.array_sort(F.collect_list(F.struct(*columns(v.labels), "value")))
         total = kahan_sum(F.transform(order, lambda x: x["value"]))
@@ -50,7 +50,7 @@ def aggregate(op: str, v: Vector, labels: tuple[str, ...] = (), without: bool =
             "sum": lambda: F.sum(value), "avg": lambda: mean(F.sum(value), F.sum(value * SMALL), F.count(F.lit(1))), "count": lambda: F.count(F.lit(1)).cast("double"), "min": lambda: F.min(value),
             "max": lambda: max_number(value), "group": lambda: F.min(F.lit(1.0)), "stddev": lambda: F.stddev_pop(value), "stdvar": lambda: F.var_pop(value),
         }[op]()
-    return Vector(df.groupBy(*by).agg(agg.alias("value"), drop.alias("drop_name")), keys, not keeps)
+    return Vector(df.groupBy(*by).agg(agg.alias("value"), drop.alias("drop_name")), keys, not keeps, size=v.size)
 
 
 def _subset(op: str, v: Vector, by: list[str], param: Scalar) -> Vector:

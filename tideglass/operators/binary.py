@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.mathx import ARITHMETIC, COMPARISON
 from ..model import METRIC_LABELS, NAME, Scalar, Vector, col, columns
 from ..plans.syntax import Matching
+from .select import dealt
 
 FLIPPED = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
 
@@ -33,7 +34,7 @@ def with_scalar(op: str, v: Vector, s: Scalar, flag: bool, scalar_left: bool) ->
         value, keep, drop = x, COMPARISON[op](a, b), False
     df = df.where(keep) if keep is not None else df
     drops = F.lit(True) if drop else F.col("drop_name")
-    return Vector(df.select(*columns(v.labels), "step_ms", value.alias("value"), drops.alias("drop_name")), v.labels, v.unique and (not drop or _one_name(v)), nameless=drop or v.nameless)
+    return Vector(df.select(*columns(v.labels), "step_ms", value.alias("value"), drops.alias("drop_name")), v.labels, v.unique and (not drop or _one_name(v)), nameless=drop or v.nameless, size=v.size)
 
 
 def _one_name(v: Vector) -> bool:
@@ -65,7 +66,7 @@ def sets(op: str, a: Vector, b: Vector, m: Matching) -> Vector:
     out = [*columns(names), "step_ms", "value", "drop_name"]
     mine = a.df.select(*(a.label(n).alias(col(n)) for n in names), "step_ms", "value", "drop_name")
     others = rest.select(*((F.col(f"r_{col(n)}") if n in b.labels else F.lit("")).alias(col(n)) for n in names), *(F.col(f"r_{c}").alias(c) for c in ("step_ms", "value", "drop_name")))
-    return Vector(mine.unionByName(others).select(*out), names, False)
+    return Vector(mine.unionByName(others).select(*out), names, False, size=max(a.size, b.size))
 
 
 def _once(df: DataFrame, on: list[str], message: str, other: DataFrame, unique: bool) -> DataFrame:
@@ -84,11 +85,12 @@ def _is_key(v: Vector, keys: tuple[str, ...]) -> bool:
 
 
 def vectors(op: str, a: Vector, b: Vector, flag: bool, m: Matching) -> Vector:
-    """Arithmetic and comparison of two vectors by match key and step."""
+    """Arithmetic and comparison of two vectors by match key and step, in parts by size of the larger one's files."""
     keys = signature(a, b, m)
     on = [f"key_{k}" for k in keys] + ["key_step"]
-    left = _keyed(a, keys, "l").withColumn("key_step", F.col("l_step_ms"))
-    right = _keyed(b, keys, "r").withColumn("key_step", F.col("r_step_ms"))
+    size = max(a.size, b.size)
+    left = dealt(_keyed(a, keys, "l").withColumn("key_step", F.col("l_step_ms")), size, on)
+    right = dealt(_keyed(b, keys, "r").withColumn("key_step", F.col("r_step_ms")), size, on)
     many, one = ("r", "l") if m.card == "group_right" else ("l", "r")
     v_many, v_one = (b, a) if many == "r" else (a, b)
     text = ", ".join(keys)
@@ -138,4 +140,9 @@ def vectors(op: str, a: Vector, b: Vector, flag: bool, m: Matching) -> Vector:
     names = tuple(sorted(names))
     drops = F.lit(True) if drop else F.coalesce(F.col(f"{many}_drop_name"), F.lit(True))
     out = df.select(*(label(n).alias(col(n)) for n in names), F.col("key_step").alias("step_ms"), value.alias("value"), drops.alias("drop_name"))
-    return Vector(out, names, m.card == "one-to-one" and (drop or NAME not in names), nameless=drop)
+    if m.card == "one-to-one":
+        unique = drop or NAME not in names
+    else:  # a row of the many side has one match at most, and its labels stay as they are
+        own = _is_key(v_many, tuple(set(v_many.labels) - set(METRIC_LABELS))) if drop else v_many.unique
+        unique = own and not filled and not set(m.include) & set(v_many.labels)
+    return Vector(out, names, unique, nameless=drop, size=size)

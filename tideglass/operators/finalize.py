@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import METRIC_LABELS, Vector, col, columns
+from .select import dealt
 from .text import label_order
 
 SAME = "vector cannot contain metrics with the same labelset"
@@ -24,7 +25,7 @@ def finish(v: Vector) -> Vector:
     df = v.df.select(*((F.when(gone, "").otherwise(F.col(col(x))) if x in METRIC_LABELS else F.col(col(x))).alias(col(x)) for x in v.labels), "step_ms", "value")
     if not v.unique:
         n = F.count(F.lit(1)).over(Window.partitionBy(*columns(v.labels), "step_ms"))
-        df = df.withColumn("n", n).where(F.when(F.col("n") > 1, F.raise_error(F.lit(SAME)).cast("boolean")).otherwise(True)).drop("n")
+        df = dealt(df, v.size, [*columns(v.labels), "step_ms"]).withColumn("n", n).where(F.when(F.col("n") > 1, F.raise_error(F.lit(SAME)).cast("boolean")).otherwise(True)).drop("n")
     return Vector(df, v.labels, True, v.order)
 
 

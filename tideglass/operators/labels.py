@@ -22,7 +22,7 @@ def _set(v: Vector, label: str, value: Column) -> Vector:
     names = tuple(sorted({*v.labels, label}))
     drop = F.lit(False) if label == NAME else F.col("drop_name")
     df = v.df.select(*((value if n == label else v.label(n)).alias(col(n)) for n in names), "step_ms", "value", drop.alias("drop_name"))
-    return Vector(df, names, False)
+    return Vector(df, names, False, size=v.size)
 
 
 def replace(v: Vector, dst: str, replacement: str, src: str, pattern: str) -> Vector:

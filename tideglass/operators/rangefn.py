@@ -223,7 +223,7 @@ LISTED = {
 def evaluate(name: str, raw: Raw, grid: Grid, width: int, offset: int = 0, args: tuple[Scalar, ...] = (), exact: bool = False) -> Vector:
     """A range function by name over windows of `width` ms; an empty window gives no sample."""
     keys = [*columns(raw.labels), "step_ms"]
-    out = Vector(raw.df, raw.labels, raw.one_name or name in KEEPS_NAME, nameless=name not in KEEPS_NAME)
+    out = Vector(raw.df, raw.labels, raw.one_name or name in KEEPS_NAME, nameless=name not in KEEPS_NAME, size=raw.size)
     drop = F.lit(name not in KEEPS_NAME).alias("drop_name")
 
     def finish(df: DataFrame, value: Column) -> Vector:
@@ -331,4 +331,4 @@ def extended(name: str, mode: str, raw: Raw, grid: Grid, width: int, lookback: i
     value = add(a, a) + F.when(F.col("some"), add(a, F.col("in")) + F.coalesce("pairs", F.lit(0.0)) + add(F.col("out"), b)).otherwise(add(a, b))
     if name == "rate":
         value = value / (width / 1000.0)
-    return Vector(df.select(*keys, value.alias("value"), F.lit(True).alias("drop_name")).where("value is not null"), raw.labels, raw.one_name, nameless=True)
+    return Vector(df.select(*keys, value.alias("value"), F.lit(True).alias("drop_name")).where("value is not null"), raw.labels, raw.one_name, nameless=True, size=raw.size)

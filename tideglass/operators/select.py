@@ -50,7 +50,7 @@ def instant(raw: Raw, grid: Grid, lookback: int, offset: int = 0, timestamps: bo
     until = F.least(F.coalesce("next", F.lit(2**62)), F.col("ts_ms") + lookback)
     df = steps(df, grid.index(F.col("ts_ms") + offset), grid.index(until + offset), grid, [*columns(raw.labels), "ts_ms", "value"])
     value = F.col("ts_ms") / 1000.0 if timestamps else F.col("value")
-    return Vector(df.select(*columns(raw.labels), "step_ms", value.alias("value"), F.lit(timestamps).alias("drop_name")), raw.labels, True)
+    return Vector(df.select(*columns(raw.labels), "step_ms", value.alias("value"), F.lit(timestamps).alias("drop_name")), raw.labels, True, size=raw.size)
 
 
 def window_start(width: int, offset: int) -> Column:
