@@ -430,6 +430,13 @@ def test_group_left_in_parts(spark, monkeypatch):
     joined_in_parts(spark, "group_left")
 
 
+def test_group_right_in_parts(spark, monkeypatch):
+    from tideglass.operators import select
+
+    monkeypatch.setattr(select, "PART_BYTES", 1 << 10)
+    joined_in_parts(spark, "group_right")
+
+
 def test_equal_labels_in_parts(spark, monkeypatch):
     """Where two series may become one, the search for equal labels goes to parts by size, too."""
     from tideglass.operators import select
