@@ -501,3 +501,7 @@ def test_rows_of_many_files(spark, tmp_path):
     assert size(0, 1) < 20_000
     assert size(30_000, 3) == pytest.approx(600_000, rel=0.01)
     assert size(200_000, 20) == pytest.approx(4_000_000, rel=0.05)
+
+
+def test_group_right_in_parts_by_rows(spark, tmp_path, monkeypatch):
+    parts_by_rows(spark, tmp_path, monkeypatch, "group_right")
